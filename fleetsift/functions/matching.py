@@ -176,7 +176,7 @@ def match_one(
 ) -> Column:
     """One value against one operand."""
     if operator == "cidr":
-        return in_cidr(views.get("v4"), views.get("v6"), value)
+        return in_cidr(lambda: views.get("v4"), lambda: views.get("v6"), value)
     if operator == "re":
         pattern = java_regex(value, fold)
         return F.lit(False) if pattern in rejected else views.get("raw").rlike(pattern)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsift.functions.addresses import v4_number, v6_hex
+from fleetsift.functions.addresses import v4_number
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
@@ -22,9 +22,10 @@ def hash_algo(value: Column) -> Column:
 def ioc_type(indicator: Column) -> Column:
     """url, ip or domain."""
     value = F.lower(F.trim(indicator))
+    v6 = value.rlike(r"\A[0-9a-f]*:[0-9a-f:]*:[0-9a-f:.]*\z")
     return (
         F.when(value.rlike(r"\A[a-z][a-z0-9+.-]*://"), "url")
-        .when(v4_number(value).isNotNull() | v6_hex(value).isNotNull(), "ip").otherwise("domain")
+        .when(v4_number(value).isNotNull() | v6, "ip").otherwise("domain")
     )
 
 
