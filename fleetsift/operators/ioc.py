@@ -26,6 +26,14 @@ def ioc_merge(*lists: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, lists).distinct()
 
 
+def driver_list(indicators: DataFrame, rows: int = MAX_LITERALS, size: int = MAX_LITERAL_BYTES) -> list[str]:
+    """The distinct indicators as a Python list, to be compiled into a rule; refuses a list beyond the limits."""
+    distinct = indicators.select("indicator").distinct()
+    if not is_small(distinct, rows, size):
+        raise ValueError(f"more than {rows} indicators: match them with match_literals instead of a rule")
+    return sorted(r.indicator for r in distinct.collect() if r.indicator)
+
+
 # --- hashes -----------------------------------------------------------------------------------------------------------
 
 def hash_extract(events: DataFrame, hashes: str = "Hashes") -> DataFrame:
@@ -147,7 +155,7 @@ def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str]
         distinct = indicators.select("indicator").distinct()
         if not is_small(distinct, max_shipped, MAX_LITERAL_BYTES):
             return _gram_join(rows, text, distinct)
-        indicators = sorted(r.indicator for r in distinct.collect() if r.indicator)
+        indicators = driver_list(distinct, max_shipped)
     spelled: dict[str, list[str]] = {}
     for indicator in dict.fromkeys(i for i in indicators if i):
         spelled.setdefault(indicator.lower(), []).append(indicator)

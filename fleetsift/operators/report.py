@@ -188,7 +188,7 @@ def artifact_rows(table: DataFrame, artifact: str, host: str = "host") -> DataFr
 # --- paging -----------------------------------------------------------------------------------------------------------
 
 DEEP = 100_000
-SPLITS = 64
+SPLITS = 16
 
 
 def _before(keys: list[tuple[str, bool]], bound: tuple) -> Column:
@@ -200,27 +200,29 @@ def _before(keys: list[tuple[str, bool]], bound: tuple) -> Column:
     return out
 
 
-def _narrow(table: DataFrame, keys: list[tuple[str, bool]], start: int, size: int, total: int) -> tuple[DataFrame, int]:
-    """The slice of sort-key ranges that holds rows ``start`` to ``start + size``, and how far into it they begin.
+def _narrow(
+    table: DataFrame, keys: list[tuple[str, bool]], order: list[Column], start: int, size: int, total: int
+) -> tuple[DataFrame, int, int]:
+    """The ranges of sort keys that hold rows ``start`` to ``start + size``: the rows, where the page begins in them, and
+    how many they are.
 
-    The bounds come from a sample; they only decide how much is sorted, not which rows the page has.
+    The bounds come from a sample; they only decide how much is left to sort, not which rows the page has.
     """
     names = [n for n, _ in keys]
-    order = [F.col(n).desc() if d else F.col(n).asc() for n, d in keys]
-    sample = table.select(*names).sample(min(1.0, 20.0 * SPLITS / total), seed=7).orderBy(*order).limit(200 * SPLITS).collect()
-    bounds = [tuple(sample[i * len(sample) // SPLITS]) for i in range(1, SPLITS)] if sample else []
-    bounds = list(dict.fromkeys(bounds))
+    fraction = min(1.0, 100.0 * SPLITS / total)
+    sample = table.select(*names).sample(fraction, seed=7).orderBy(*order).limit(200 * SPLITS).collect()
+    bounds = list(dict.fromkeys(tuple(sample[i * len(sample) // SPLITS]) for i in range(1, SPLITS))) if sample else []
     bucket = reduce(lambda a, b: a + b, [(~_before(keys, b)).cast("int") for b in bounds], F.lit(0))
     counts = {r.b: r.n for r in table.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    seen, first, last, skipped = 0, None, 0, 0
+    first, last, skipped, held, seen = None, 0, 0, 0, 0
     for b in range(len(bounds) + 1):
-        upto = seen + counts.get(b, 0)
-        if first is None and upto > start:
+        rows = counts.get(b, 0)
+        if first is None and seen + rows > start:
             first, skipped = b, seen
-        if seen < start + size:
-            last = b
-        seen = upto
-    return table.filter(bucket.between(first or 0, last)), start - skipped
+        if first is not None and seen < start + size:
+            last, held = b, held + rows
+        seen += rows
+    return table.filter(bucket.between(first or 0, last)), start - skipped, held
 
 
 def page(table: DataFrame, order: list[str], number: int, size: int = 25, deep: int = DEEP) -> DataFrame:
@@ -234,15 +236,17 @@ def page(table: DataFrame, order: list[str], number: int, size: int = 25, deep:
     start = (min(max(number, 1), pages) - 1) * size
     rows = max(0, min(size, total - start))
     keys = [(n.lstrip("-"), n.startswith("-")) for n in order]
-    source = table
-    if min(start, total - start - rows) > deep:
-        source, start = _narrow(table, keys, start, rows, total)
-        total = None
     down = [F.col(n).desc() if d else F.col(n).asc() for n, d in keys]
     up = [F.col(n).asc() if d else F.col(n).desc() for n, d in keys]
-    if total is not None and total - start - rows < start:
-        return source.orderBy(*up).offset(total - start - rows).limit(rows).orderBy(*down)
-    return source.orderBy(*down).offset(start).limit(rows)
+    while min(start, total - start - rows) > deep:
+        table, start, held = _narrow(table, keys, down, start, rows, total)
+        if held == total:
+            break
+        total = held
+    after = total - start - rows
+    if after < start:
+        return table.orderBy(*up).offset(after).limit(rows).orderBy(*down)
+    return table.orderBy(*down).offset(start).limit(rows)
 
 
 def page_info(table: DataFrame, size: int = 25) -> DataFrame:

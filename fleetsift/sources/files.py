@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,18 +15,15 @@ def scan_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_captures(spark: SparkSession, root: str) -> DataFrame:
-    """Captured command output as numbered lines; files are named ``<root>/<host>/<capture>.txt``.
+    """Captured command output as numbered lines, from files below ``<root>/host=<host>/capture=<name>/``.
 
-    A line number must come from the file itself, so each capture is one whole-file row that is split into lines.
-    Captures are the output of one command on one host; larger texts should carry their own line numbers.
+    Line numbers have to come from the file itself, so each file, the output of one command on one host, is one row
+    that is split into lines. Endless logs are read by line instead (``scan_weblogs``).
     """
-    whole = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root)
-    path = F.col("_metadata.file_path")
-    return whole.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]+\z", 1).alias("host"),
-        F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?\z", 1).alias("capture"),
-        F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("_pos", "line"),
-    ).select("host", "capture", (F.col("_pos") + 1).cast("long").alias("line_no"), "line")
+    whole = spark.read.text(root, wholetext=True)
+    lines = F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("_pos", "line")
+    return whole.select(F.col("host").cast("string"), F.col("capture").cast("string"), lines).select(
+        "host", "capture", (F.col("_pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def scan_weblogs(spark: SparkSession, root: str, as_of: str | None = None, days_back: int | None = None) -> DataFrame:
@@ -63,17 +60,11 @@ def union_by_user(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def user_of_path(path: Column) -> Column:
-    """Owner of a file in a home folder: the name of the folder that holds it."""
-    return F.regexp_extract(path, r"([^/]+)/[^/]+\z", 1)
-
-
 def scan_shell_history(spark: SparkSession, root: str) -> DataFrame:
-    """(user, shell, command) of all bash and zsh history files below the home folders."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", ".{bash,zsh}_history").text(root)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("command"))
-    )
-    return lines.select(
-        user_of_path(F.col("path")).alias("user"), F.regexp_extract("path", r"\.(bash|zsh)_history\z", 1).alias("shell"),
-        "command")
+    """(user, shell, command) of collected histories below ``<root>/user=<user>/shell=<bash or zsh>/``.
+
+    Spark skips files whose name starts with a dot, so ``.bash_history`` must be collected under another name.
+    """
+    return spark.read.text(root).select(
+        F.col("user").cast("string").alias("user"), F.col("shell").cast("string").alias("shell"),
+        F.col("value").alias("command"))

@@ -43,7 +43,7 @@ def scan_ioc_list(spark: SparkSession, path: str, list_name: str = "custom") ->
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """(path, config) rows of JSON configuration files."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("config"))
 
 

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsift.plans.rules import Rule, rules_from_df
+from fleetsift.schemas import SOURCE_CATALOG
+
+
+def scan_sources(spark: SparkSession, path: str) -> DataFrame:
+    """A source list: a JSON array, or one object per line, of sources."""
+    return spark.read.schema(SOURCE_CATALOG).option("multiLine", True).json(path)
 
 
 def read_rule_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the rule files below a folder; the source list at the root is not a rule file."""
     files = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
-        .option("wholetext", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        .text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
     return files.filter(~F.endswith(F.col("path"), F.lit(f"{root.rstrip('/')}/sources.json")))
 
