@@ -6,42 +6,58 @@ import ipaddress
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
 
 
-def v4_number(address: Column) -> Column:
-    """Dotted IPv4 text as a number; NULL for anything else."""
-    octets = F.split(address, r"\.")
-    total = F.lit(0).cast("long")
-    for i in range(4):
-        total = total * 256 + F.get(octets, F.lit(i)).try_cast("long")
-    return F.when(address.rlike(_V4), total)
+def v4_sql(value: str) -> str:
+    """Dotted IPv4 text, given as a SQL expression, as a number; NULL for anything else."""
+    octets = " + ".join(
+        f"try_cast(get(split({value}, '[.]'), {i}) AS bigint) * {256 ** (3 - i)}" for i in range(4))
+    pattern = _V4.replace("\\", "\\\\")
+    return f"CASE WHEN rlike({value}, '{pattern}') THEN {octets} END"
 
 
-def _hex32(address: str | None) -> str | None:
-    if not address or ":" not in address:
-        return None
-    try:
-        return f"{int(ipaddress.IPv6Address(address.split('%')[0])):032x}"
-    except ValueError:
-        return None
+def v4_number(column: str) -> Column:
+    """``v4_sql`` as a column."""
+    return F.expr(v4_sql(column))
 
 
 def v6_hex(address: Column) -> Column:
-    """IPv6 text as 32 hex digits; NULL for anything else.
+    """IPv6 text as 32 hex digits; NULL for anything else."""
+    return _v6_parser()(address)
+
 
-    Expanding ``::`` and dotted tails takes many nested built-ins, which measured some ten times slower than handing
+def _v6_parser():
+    """Expanding ``::`` and dotted tails takes many nested built-ins, which measured some ten times slower than handing
     Arrow batches to the address parser of the standard library. It runs only where a rule names an IPv6 block.
     """
+    def hex32(address: str | None) -> str | None:
+        from ipaddress import IPv6Address
+
+        if not address or ":" not in address:
+            return None
+        try:
+            return f"{int(IPv6Address(address.split('%')[0])):032x}"
+        except ValueError:
+            return None
+
     @F.pandas_udf("string")
     def parse(addresses: pd.Series) -> pd.Series:
-        return addresses.map(_hex32)
+        return addresses.map(hex32)
+
+    return parse
+
 
-    return parse(address)
+def v6_sql(value: str) -> str:
+    """``v6_hex`` over a SQL expression, registered with the session on first use."""
+    spark = SparkSession.active()
+    if not spark.catalog.functionExists("fleetsift_v6_hex"):
+        spark.udf.register("fleetsift_v6_hex", _v6_parser())
+    return f"fleetsift_v6_hex({value})"
 
 
 def parse_cidr(cidr: str) -> tuple[int, int, int] | None:
@@ -57,22 +73,23 @@ def parse_cidr(cidr: str) -> tuple[int, int, int] | None:
         return None
 
 
-def in_cidr(v4: Callable[[], Column], v6: Callable[[], Column], cidr: str) -> Column:
-    """Whether an address lies in a CIDR block; never NULL. ``v4`` and ``v6`` give its parsed forms on demand."""
+def in_cidr(v4: Callable[[], str], v6: Callable[[], str], cidr: str) -> str:
+    """Whether an address lies in a CIDR block, as SQL that is never NULL. ``v4`` and ``v6`` give its parsed forms."""
     block = parse_cidr(cidr)
     if block is None:
-        return F.lit(False)
+        return "false"
     family, network, prefix = block
     if family == 4:
         shift = 32 - prefix
-        return F.coalesce(F.shiftright(v4(), shift) == F.lit(network >> shift).cast("long"), F.lit(False))
+        return f"coalesce(shiftright({v4()}, {shift}) = {network >> shift}L, false)"
     digits, rest = divmod(prefix, 4)
     text = f"{network:032x}"
-    same = F.startswith(v6(), F.lit(text[:digits]))
+    same = f"startswith({v6()}, '{text[:digits]}')"
     if rest:
-        nibble = F.conv(F.substring(v6(), digits + 1, 1), 16, 10).try_cast("int")
-        same = same & (F.shiftright(nibble, 4 - rest) == int(text[digits], 16) >> (4 - rest))
-    return F.coalesce(same, F.lit(False))
+        allowed = int(text[digits], 16) >> (4 - rest) << (4 - rest)
+        nibbles = ", ".join(f"'{n:x}'" for n in range(allowed, allowed + (1 << (4 - rest))))
+        same = f"({same} AND substring({v6()}, {digits + 1}, 1) IN ({nibbles}))"
+    return f"coalesce({same}, false)"
 
 
 def is_external(address: Column) -> Column:

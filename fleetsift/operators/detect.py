@@ -7,17 +7,17 @@ from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetsift.functions.literals import can_index, literal_ids
-from fleetsift.functions.matching import VIEWS, Views, bad_patterns, text
-from fleetsift.operators.joins import newest_n
+from fleetsift.functions.matching import BLANK, VIEWS, Views, bad_patterns, quoted, rlike, text
+from fleetsift.operators.joins import newest_n, spread_small
 from fleetsift.operators.ruleset import live_rules, pick_sources
 from fleetsift.plans.rules import Options, Rule, RuleError, compile_rule, regexes
 from fleetsift.schemas import FINDING_COLUMNS, RULE_ERRORS, SOURCES, Source
 
-RULES_PER_ARRAY = 100
+KEPT = ["host", "log_name", "event_id", "record_id", "time_created", "event_data"]
 SYSTEM_COLUMNS = {"eventid": "event_id", "channel": "log_name", "providername": "provider"}
 
 
@@ -51,16 +51,24 @@ def newest_n_per_source(events: DataFrame, n: int, keys: tuple[str, ...] = ("hos
 
 # --- fields -----------------------------------------------------------------------------------------------------------
 
-def field_column(source: Source, name: str) -> tuple[str, Column] | None:
-    """(column key, raw column) of a rule field in a source, NULL when absent; None if the source has no such field."""
+def field_sql(source: Source, name: str) -> tuple[str, str] | None:
+    """(column key, SQL of the raw value) of a rule field in a source; None if the source has no such field.
+
+    The value is NULL where the record lacks it.
+    """
     mapping = {f.lower(): ref for f, ref in source.field_map.items()}.get(name.lower())
     if mapping is None:
         return None
     kind, target = mapping[0].lower(), mapping[1].lower()
     if kind == "system":
         column = SYSTEM_COLUMNS.get(target)
-        return (f"sys:{target}", F.col(column).cast("string")) if column else None
-    return (f"data:{target}", F.col("event_data")[target]) if kind == "eventdata" else None
+        return (f"sys:{target}", f"cast({column} AS string)") if column else None
+    return (f"data:{target}", payload_sql(target)) if kind == "eventdata" else None
+
+
+def payload_sql(name: str) -> str:
+    """A payload value by name, in lower case."""
+    return f"event_data[{quoted(name)}]"
 
 
 def field_project(events: DataFrame, source: Source, fields: Iterable[str] | None = None) -> DataFrame:
@@ -68,22 +76,22 @@ def field_project(events: DataFrame, source: Source, fields: Iterable[str] | Non
     wanted = list(fields) if fields is not None else list(source.field_map)
     cols = []
     for name in wanted:
-        found = field_column(source, name)
-        cols.append((text(found[1]) if found else F.lit("")).alias(name))
+        found = field_sql(source, name)
+        cols.append(F.expr(text(found[1]) if found else "''").alias(name))
     return events.select("host", "log_name", "event_id", "record_id", "time_created", *cols)
 
 
-def raw_text(message: Column, raw_xml: Column) -> Column:
+def raw_sql(message: str = "message", raw_xml: str = "raw_xml") -> str:
     """The text a ``raw`` matcher sees: message and XML on separate lines, or the XML alone for a blank message."""
-    blank = text(message).rlike(r"(?U)\A\s*\z")
-    return F.when(blank, text(raw_xml)).otherwise(F.concat(text(message), F.lit("\n"), text(raw_xml)))
+    blank = rlike(text(message), BLANK)
+    return f"CASE WHEN {blank} THEN {text(raw_xml)} ELSE concat({text(message)}, '\n', {text(raw_xml)}) END"
 
 
 class ScanColumns:
     """What the rules of one scan read: field views, and the literals each view is searched for."""
 
     def __init__(self):
-        self.views: dict[str, Column] = {}
+        self.views: dict[str, str] = {}
         self.literals: dict[str, dict[str, int]] = {}
         self.indexed: frozenset[str] = frozenset()
 
@@ -92,7 +100,7 @@ class ScanColumns:
         self.indexed = frozenset(alias for alias, found in self.literals.items() if can_index(list(found)))
 
     def project(self, events: DataFrame, kept: list[str]) -> DataFrame:
-        out = events.select(*kept, *[c.alias(alias) for alias, c in self.views.items()])
+        out = events.select(*kept, *[F.expr(sql).alias(alias) for alias, sql in self.views.items()])
         return out.withColumns({
             f"{alias}#ids": literal_ids(F.col(f"`{alias}`"), list(self.literals[alias]))
             for alias in sorted(self.indexed)
@@ -102,33 +110,35 @@ class ScanColumns:
 class _Projected(Views):
     """Views that become columns of the scan, shared by all rules that read the same field."""
 
-    def __init__(self, key: str, value: Column, scan: ScanColumns):
+    def __init__(self, key: str, value: str, scan: ScanColumns):
         super().__init__(value)
         self.key, self.scan = key, scan
 
-    def get(self, view: str) -> Column:
+    def get(self, view: str) -> str:
         alias = f"{self.key}#{view}"
-        self.scan.views.setdefault(alias, VIEWS[view](self.value))
-        return F.col(f"`{alias}`")
+        if alias not in self.scan.views:
+            self.scan.views[alias] = VIEWS[view](self.value)
+        return f"`{alias}`"
 
-    def contains(self, operand: str, fold: bool) -> Column:
+    def contains(self, operand: str, fold: bool) -> str:
         view, literal = ("lower", operand.lower()) if fold else ("raw", operand)
         value, alias = self.get(view), f"{self.key}#{view}"
         if not literal:
-            return F.lit(True)
-        position = self.scan.literals.setdefault(alias, {}).setdefault(literal, len(self.scan.literals[alias]))
+            return "true"
+        known = self.scan.literals.setdefault(alias, {})
+        position = known.setdefault(literal, len(known))
         if alias in self.scan.indexed:
-            return F.array_contains(F.col(f"`{alias}#ids`"), position)
-        return F.contains(value, F.lit(literal))
+            return f"array_contains(`{alias}#ids`, {position})"
+        return f"contains({value}, {quoted(literal)})"
 
 
 def _views_for(source: Source, scan: ScanColumns):
     def views_of(name: str) -> Views:
-        found = field_column(source, name)
-        return _Projected(found[0], found[1], scan) if found else Views(F.lit(""))
+        found = field_sql(source, name)
+        return _Projected(found[0], found[1], scan) if found else Views("''")
 
     def raw_views() -> Views:
-        return _Projected("raw", raw_text(F.col("message"), F.col("raw_xml")), scan)
+        return _Projected("raw", raw_sql(), scan)
 
     return views_of, raw_views
 
@@ -181,20 +191,17 @@ def rule_errors(spark: SparkSession, plan: ScanPlan) -> DataFrame:
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
-def _hit_array(tests: list[tuple[int, Column]]) -> Column:
+def _hit_array(tests: list[tuple[int, str]]) -> str:
     """Ids of the tests that hold, as an array."""
-    chunks = []
-    for start in range(0, len(tests), RULES_PER_ARRAY):
-        flags = [F.when(test, F.lit(i)) for i, test in tests[start:start + RULES_PER_ARRAY]]
-        chunks.append(F.array_compact(F.array(*flags)))
-    return chunks[0] if len(chunks) == 1 else F.concat(*chunks)
+    flags = ", ".join(f"CASE WHEN {test} THEN {i} END" for i, test in tests)
+    return f"array_compact(array({flags}))"
 
 
 def _scan_log(events: DataFrame, sources: list[Source], plan: ScanPlan) -> DataFrame:
-    """One row per (event, pair id) for the sources that share one log."""
+    """The events of one log that some rule of its sources hits, with the ids of the pairs as ``_hits``."""
     scan = ScanColumns()
 
-    def compiled(source: Source) -> list[tuple[int, Column]]:
+    def compiled(source: Source) -> list[tuple[int, str]]:
         return [(i, compile_rule(rule, *_views_for(source, scan), plan.options)) for i, rule in plan.pairs_of(source)]
 
     for source in sources:
@@ -204,14 +211,14 @@ def _scan_log(events: DataFrame, sources: list[Source], plan: ScanPlan) -> DataF
     for source in sources:
         hits = _hit_array(compiled(source))
         if len(sources) > 1 and source.event_ids:
-            hits = F.when(F.col("event_id").isin(list(source.event_ids)), hits).otherwise(
-                F.array().cast("array<int>"))
-        per_source.append(hits)
+            ids = ", ".join(str(i) for i in source.event_ids)
+            hits = f"CASE WHEN event_id IN ({ids}) THEN {hits} ELSE cast(array() AS array<int>) END"
+        per_source.append(F.expr(hits))
     hits = per_source[0] if len(per_source) == 1 else F.concat(*per_source)
-    kept = ["host", "log_name", "event_id", "record_id", "time_created", "event_data"]
-    projected = scan.project(events, kept)
-    # The outer form keeps the optimizer from testing the array in a filter first, which would run all rules twice.
-    return projected.select(*kept, F.explode_outer(hits).alias("_pair")).filter(F.col("_pair").isNotNull())
+    # As the output of an outer explode, the array is made once per event; a plain filter on it would be pushed down
+    # and run all rules a second time.
+    some = F.explode_outer(F.filter(F.array(hits), lambda found: F.size(found) > 0)).alias("_hits")
+    return scan.project(events, KEPT).select(*KEPT, some).filter(F.col("_hits").isNotNull())
 
 
 def _by_log(plan: ScanPlan) -> dict[str, list[Source]]:
@@ -224,8 +231,9 @@ def _by_log(plan: ScanPlan) -> dict[str, list[Source]]:
 
 def _first_present(source: Source, fields: list[str], payload: list[str] = ()) -> Column:
     """First non-missing of some logical fields, then of some payload names, else "N/A"; an empty string counts."""
-    found = [field_column(source, f) for f in fields]
-    return F.coalesce(*[f[1] for f in found if f], *[F.col("event_data")[p] for p in payload], F.lit("N/A"))
+    found = [field_sql(source, f) for f in fields]
+    values = [f[1] for f in found if f] + [payload_sql(p) for p in payload]
+    return F.expr(f"coalesce({', '.join([*values, quoted('N/A')])})")
 
 
 def project_finding(hits: DataFrame, plan: ScanPlan, extra: list[str] = ()) -> DataFrame:
@@ -267,30 +275,61 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
     return best.select(*[F.col(c) if c in FINDING_KEY else F.col(f"_best.{c}").alias(c) for c in findings.columns])
 
 
-def detect_hits(
+def hit_events(
     event_log: DataFrame, plan: ScanPlan, as_of: str | datetime, days_back: int = 30, max_events_per_source: int = 0
 ) -> DataFrame:
-    """(event, pair) rows. Sources of one log share one scan, unless a cap makes their candidates differ."""
+    """Events that some rule hits. Sources of one log share one scan, unless a cap makes their candidates differ."""
     scans = []
     for log_name, sources in _by_log(plan).items():
         groups = [[s] for s in sources] if max_events_per_source > 0 else [sources]
         for group in groups:
             ids = [] if any(not s.event_ids for s in group) else [i for s in group for i in s.event_ids]
             events = event_filter(event_log, log_name, ids, as_of, days_back)
-            scans.append(_scan_log(newest_n_per_source(events, max_events_per_source), group, plan))
+            candidates = spread_small(newest_n_per_source(events, max_events_per_source))
+            scans.append(_scan_log(candidates, group, plan))
     if not scans:
-        kept = ["host", "log_name", "event_id", "record_id", "time_created", "event_data"]
-        return event_log.limit(0).select(*kept, F.lit(None).cast("int").alias("_pair"))
+        return event_log.limit(0).select(*KEPT, F.array().cast("array<int>").alias("_hits"))
     return reduce(DataFrame.unionByName, scans)
 
 
+def detect_hits(
+    event_log: DataFrame, plan: ScanPlan, as_of: str | datetime, days_back: int = 30, max_events_per_source: int = 0
+) -> DataFrame:
+    """(event, pair) rows."""
+    events = hit_events(event_log, plan, as_of, days_back, max_events_per_source)
+    return events.select(*KEPT, F.explode("_hits").alias("_pair"))
+
+
+def dedup_hits(events: DataFrame) -> DataFrame:
+    """Hit events in which each pair of a record (per host and log) is left only to the newest record that hit it.
+
+    Works on events rather than findings, so that a long text moves once however many rules hit it. Copies of a record
+    with the same hits are folded before they are moved; what is left of a record is then compared, newest first.
+    """
+    entries = F.array_sort(F.map_entries("event_data"))
+    record = ["host", "log_name", "_record"]
+    newest = events.select(
+        "host", "log_name", F.coalesce(F.col("record_id"), F.col("event_id").cast("long")).alias("_record"), "_hits",
+        F.struct("time_created", "event_id", entries.alias("entries")).alias("_row"),
+    ).groupBy(*record, "_hits").agg(F.max("_row").alias("_row"))
+    before = Window.partitionBy(*record).orderBy(F.col("_row").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    left = newest.withColumn("_hits", F.array_except("_hits", F.flatten(F.collect_list("_hits").over(before))))
+    return left.select(
+        "host", "log_name", F.col("_row.event_id").alias("event_id"), F.col("_record").alias("record_id"),
+        F.col("_row.time_created").alias("time_created"), F.map_from_entries("_row.entries").alias("event_data"),
+        F.explode("_hits").alias("_pair"),
+    )
+
+
 def detect(
     event_log: DataFrame, plan: ScanPlan, as_of: str | datetime, days_back: int = 30, max_events_per_source: int = 0,
     dedup: bool = True,
 ) -> DataFrame:
-    """Findings of a whole scan."""
-    findings = project_finding(detect_hits(event_log, plan, as_of, days_back, max_events_per_source), plan)
-    return dedup_findings(findings) if dedup else findings
+    """Findings of a whole scan, one per host, source, rule file and record unless ``dedup`` is off."""
+    if dedup:
+        events = hit_events(event_log, plan, as_of, days_back, max_events_per_source)
+        return project_finding(dedup_hits(events), plan)
+    return project_finding(detect_hits(event_log, plan, as_of, days_back, max_events_per_source), plan)
 
 
 def report_columns(findings: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Detection rules: the envelope, and the compiler from a rule's expression tree to one Boolean column."""
+"""Detection rules: the envelope, and the compiler from a rule's expression tree to one Boolean SQL expression."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from fnmatch import fnmatchcase
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from fleetsift.functions.matching import OPERATORS, UnknownOperator, Views, all_of, any_of, java_regex, match
+from fleetsift.functions.matching import OPERATORS, UnknownOperator, Views, all_of, any_of, java_regex, match_sql
 from fleetsift.schemas import RULE_META
 
 # Severity ranks.
@@ -141,22 +140,22 @@ def regexes(rules: Iterable[Rule]) -> list[str]:
 def compile_expression(
     node, items: dict, views_of: Callable[[str], Views], raw_views: Callable[[], Views], options: Options = Options(),
     warnings: list[str] | None = None, _open: tuple[str, ...] = (),
-) -> Column:
-    """One expression node as a Boolean column that is never NULL.
+) -> str:
+    """One expression node as a Boolean SQL expression that is never NULL.
 
     ``views_of`` gives the views of a field by name and ``raw_views`` those of the raw event text. Named items are
     inlined where they are referenced.
     """
     by_name = {str(name).lower(): tree for name, tree in items.items()}
 
-    def go(child, opened=_open) -> Column:
+    def go(child, opened=_open) -> str:
         return compile_expression(child, items, views_of, raw_views, options, warnings, opened)
 
-    def item(name: str) -> Column:
+    def item(name: str) -> str:
         key = name.lower()
         if key in _open:
             raise RuleError(f"item {name!r} refers to itself")
-        return go(by_name[key], (*_open, key)) if key in by_name else F.lit(False)
+        return go(by_name[key], (*_open, key)) if key in by_name else "false"
 
     kind = _kind(node)
     if kind == "all":
@@ -166,13 +165,13 @@ def compile_expression(
     if kind == "not":
         if node.get("child") is None and warnings is not None:
             warnings.append("'not' without 'child' is always true")
-        return ~go(node.get("child"))
+        return f"(NOT {go(node.get('child'))})"
     if kind == "item_ref":
         return item(str(node.get("name", "")))
     if kind == "wildcard_ref":
         names = matching_items(items, str(node.get("pattern", "")))
         if not names:
-            return F.lit(False)
+            return "false"
         require_all = str(node.get("mode", "")).lower() == "all"
         return (all_of if require_all else any_of)(item(str(n)) for n in names)
     if kind in ("field", "raw"):
@@ -181,21 +180,21 @@ def compile_expression(
         if operator not in OPERATORS:
             raise RuleError(f"unknown operator {operator!r}")
         ignore_case = node.get("ignore_case")
-        return match(
+        return match_sql(
             raw_views() if is_raw else views_of(str(node.get("field", ""))), operator,
             values=node.get("values"), match=node.get("match") or "any",
             windash=bool(node.get("windash")) and not is_raw,
             ignore_case=True if ignore_case is None else bool(ignore_case), keep_empty=is_raw,
             honour_escapes=options.honour_escapes, singleline=options.singleline, rejected=options.rejected,
         )
-    return F.lit(False)
+    return "false"
 
 
 def compile_rule(
     rule: Rule, views_of: Callable[[str], Views], raw_views: Callable[[], Views], options: Options = Options(),
     warnings: list[str] | None = None,
-) -> Column:
-    """The whole rule as one Boolean column."""
+) -> str:
+    """The whole rule as one Boolean SQL expression."""
     try:
         return compile_expression(rule.condition, rule.items, views_of, raw_views, options, warnings)
     except UnknownOperator as failure:

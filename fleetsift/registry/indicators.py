@@ -42,7 +42,7 @@ def hash_match(spark, d):
 
 @query("ioc_type", "SELECT indicator, kind FROM iocs", "iocs")
 def ioc_kinds(spark, d):
-    return t.iocs(spark, d).select("indicator", ioc_type(F.col("indicator")).alias("kind"))
+    return t.iocs(spark, d).select("indicator", ioc_type("indicator").alias("kind"))
 
 
 @query("ioc_url_exact", "SELECT page_id, indicator FROM history JOIN iocs ON lower(url) = indicator WHERE kind = 'url'",

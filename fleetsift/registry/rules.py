@@ -134,6 +134,10 @@ _BRANCHES = [
 ]
 
 
+# Only connections have repeated record ids; of equally new ones the payload in the order of its keys decides.
+_TIES = {"ev_network": "[hostname, ip, image, initiated, usr]", "ev_security": "['']", "ev_script": "['']", "ev_process": "['']"}
+
+
 def _finding_sql(branches) -> str:
     parts = []
     for (view, source, usr, command, process), name, title, level, tags, condition in branches:
@@ -142,13 +146,14 @@ def _finding_sql(branches) -> str:
             f"SELECT host, '{source}' AS SourceId, record_id AS RecordId, '{title}' AS RuleTitle, '{level}' AS RuleLevel, "
             f"'{tags}' AS RuleTags, event_id AS EventId, log_name AS LogName, "
             f"strftime(time_created, '%Y-%m-%d %H:%M:%S') AS TimeCreated, {usr} AS \"User\", {command} AS CommandLine, "
-            f"{process} AS Process, 'rules/own/{name}.json' AS RuleFile FROM {view} WHERE {only}({condition})")
+            f"{process} AS Process, 'rules/own/{name}.json' AS RuleFile, {_TIES[view]} AS ties FROM {view} "
+            f"WHERE {only}({condition})")
     return " UNION ALL ".join(parts)
 
 
 _EV = "ev_security ev_script ev_process ev_network"
-_BEST = ("SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY host, SourceId, RuleFile, RecordId "
-         "ORDER BY TimeCreated DESC, \"User\" DESC, CommandLine DESC, Process DESC) AS rn FROM ({sql})) WHERE rn = 1")
+_BEST = ("SELECT * EXCLUDE (rn, ties) FROM (SELECT *, row_number() OVER (PARTITION BY host, SourceId, RuleFile, RecordId "
+         "ORDER BY TimeCreated DESC, ties DESC) AS rn FROM ({sql})) WHERE rn = 1")
 
 
 def _plan(spark):
@@ -160,7 +165,8 @@ def detect(spark, d):
     return det.detect(t.event_log(spark, d), _plan(spark), **SCAN)
 
 
-@query("dedup_findings", _BEST.format(sql=_finding_sql([b for b in _BRANCHES if b[0] is _NET])), _EV)
+@query("dedup_findings", _BEST.format(sql=_finding_sql([b for b in _BRANCHES if b[0] is _NET])).replace(
+    "ties DESC", "\"User\" DESC, Process DESC"), _EV)
 def dedup_findings(spark, d):
     plan = det.plan_scan(spark, rulepack(), include_ids=["SYSMON_network_connection"])
     return det.dedup_findings(det.detect(t.ev_network(spark, d), plan, dedup=False, **SCAN))

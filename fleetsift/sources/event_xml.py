@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetsift.operators.joins import spread_small
+
 _SHAPE = (
     "System struct<Provider:struct<_Name:string>,EventID:string,Channel:string,EventRecordID:string,Computer:string,"
     "TimeCreated:struct<_SystemTime:string>>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>"
@@ -23,7 +25,7 @@ def last_entry_wins(entries: Column) -> Column:
 def parse_event_xml(records: DataFrame, xml: str = "raw_xml") -> DataFrame:
     """Add the system values and the payload map of every XML record. Data nodes without a name are left out."""
     doc = F.from_xml(F.col(xml), _SHAPE, {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"})
-    parsed = records.withColumn("_doc", doc)
+    parsed = spread_small(records).withColumn("_doc", doc)
     data = F.filter(F.col("_doc.EventData.Data"), lambda d: F.coalesce(d["_Name"], F.lit("")) != "")
     pairs = F.transform(data, lambda d: F.struct(
         d["_Name"].alias("name"), F.coalesce(d["_VALUE"], F.lit("")).alias("value")))

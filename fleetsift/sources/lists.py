@@ -19,13 +19,14 @@ def hash_algo(value: Column) -> Column:
     return F.when(value.rlike(r"\A[0-9a-f]{32}\z"), "md5").when(value.rlike(r"\A[0-9a-f]{64}\z"), "sha256")
 
 
-def ioc_type(indicator: Column) -> Column:
-    """url, ip or domain."""
+def ioc_type(indicator: str) -> Column:
+    """url, ip or domain, of a column given by name."""
     value = F.lower(F.trim(indicator))
+    v4 = v4_number(f"trim({indicator})")
     v6 = value.rlike(r"\A[0-9a-f]*:[0-9a-f:]*:[0-9a-f:.]*\z")
     return (
         F.when(value.rlike(r"\A[a-z][a-z0-9+.-]*://"), "url")
-        .when(v4_number(value).isNotNull() | v6, "ip").otherwise("domain")
+        .when(v4.isNotNull() | v6, "ip").otherwise("domain")
     )
 
 
@@ -38,7 +39,7 @@ def scan_hash_list(spark: SparkSession, path: str) -> DataFrame:
 def scan_ioc_list(spark: SparkSession, path: str, list_name: str = "custom") -> DataFrame:
     """(indicator, kind, list) of a domain / IP / URL list."""
     return _entries(spark, path).select(
-        F.col("entry").alias("indicator"), ioc_type(F.col("entry")).alias("kind"), F.lit(list_name).alias("list"))
+        F.col("entry").alias("indicator"), ioc_type("entry").alias("kind"), F.lit(list_name).alias("list"))
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
