@@ -16,7 +16,8 @@ _V4 = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
 def v4_sql(value: str) -> str:
     """Dotted IPv4 text, given as a SQL expression, as a number; NULL for anything else."""
     octets = " + ".join(
-        f"try_cast(get(split({value}, '[.]'), {i}) AS bigint) * {256 ** (3 - i)}" for i in range(4))
+        f"try_cast(substring_index(substring_index({value}, '.', {i + 1}), '.', -1) AS bigint) * {256 ** (3 - i)}"
+        for i in range(4))
     pattern = _V4.replace("\\", "\\\\")
     return f"CASE WHEN rlike({value}, '{pattern}') THEN {octets} END"
 

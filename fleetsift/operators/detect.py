@@ -17,6 +17,9 @@ from fleetsift.operators.ruleset import live_rules, pick_sources
 from fleetsift.plans.rules import Options, Rule, RuleError, compile_rule, regexes
 from fleetsift.schemas import FINDING_COLUMNS, RULE_ERRORS, SOURCES, Source
 
+MANY_RULES = 50
+# Pair ids are (number of the rule file in a source) * FILE_STRIDE + (position of the rule in the file).
+FILE_STRIDE = 1_000_000
 KEPT = ["host", "log_name", "event_id", "record_id", "time_created", "event_data"]
 SYSTEM_COLUMNS = {"eventid": "event_id", "channel": "log_name", "providername": "provider"}
 
@@ -155,6 +158,7 @@ class ScanPlan:
     options: Options = Options()
 
     def pairs_of(self, source: Source) -> list[tuple[int, Rule]]:
+        """Pairs of a source in the order of their ids, so that the rules of one file follow each other."""
         return [(i, rule) for i, s, rule in self.pairs if s.id == source.id]
 
 
@@ -171,6 +175,7 @@ def plan_scan(
     rejected = frozenset(bad_patterns(spark, regexes(live)))
     options = Options(options.honour_escapes, options.singleline, options.rejected | rejected)
     plan = ScanPlan(chosen, [], options=options)
+    files: dict[tuple[str, str], tuple[int, list[Rule]]] = {}
     for source in chosen:
         for rule in live:
             if source.id.lower() not in {s.lower() for s in rule.sources}:
@@ -180,7 +185,10 @@ def plan_scan(
             except RuleError as failure:
                 plan.errors.append((source.id, rule.rule_file, rule.title, str(failure)))
                 continue
-            plan.pairs.append((len(plan.pairs), source, rule))
+            number, members = files.setdefault((source.id, rule.rule_file), (len(files), []))
+            plan.pairs.append((number * FILE_STRIDE + len(members), source, rule))
+            members.append(rule)
+    plan.pairs.sort(key=lambda pair: pair[0])
     return plan
 
 
@@ -193,7 +201,7 @@ def rule_errors(spark: SparkSession, plan: ScanPlan) -> DataFrame:
 
 def _hit_array(tests: list[tuple[int, str]]) -> str:
     """Ids of the tests that hold, as an array."""
-    flags = ", ".join(f"CASE WHEN {test} THEN {i} END" for i, test in tests)
+    flags = ", ".join(f"CASE WHEN {test} THEN {i}L END" for i, test in tests)
     return f"array_compact(array({flags}))"
 
 
@@ -212,7 +220,7 @@ def _scan_log(events: DataFrame, sources: list[Source], plan: ScanPlan) -> DataF
         hits = _hit_array(compiled(source))
         if len(sources) > 1 and source.event_ids:
             ids = ", ".join(str(i) for i in source.event_ids)
-            hits = f"CASE WHEN event_id IN ({ids}) THEN {hits} ELSE cast(array() AS array<int>) END"
+            hits = f"CASE WHEN event_id IN ({ids}) THEN {hits} ELSE cast(array() AS array<bigint>) END"
         per_source.append(F.expr(hits))
     hits = per_source[0] if len(per_source) == 1 else F.concat(*per_source)
     # As the output of an outer explode, the array is made once per event; a plain filter on it would be pushed down
@@ -241,7 +249,7 @@ def project_finding(hits: DataFrame, plan: ScanPlan, extra: list[str] = ()) -> D
     spark = hits.sparkSession
     meta = spark.createDataFrame(
         [(i, s.id, r.title, r.level, ", ".join(r.tags), r.rule_file) for i, s, r in plan.pairs],
-        "_pair int, SourceId string, RuleTitle string, RuleLevel string, RuleTags string, RuleFile string",
+        "_pair bigint, SourceId string, RuleTitle string, RuleLevel string, RuleTags string, RuleFile string",
     )
 
     def per_source(pick) -> Column:
@@ -285,10 +293,12 @@ def hit_events(
         for group in groups:
             ids = [] if any(not s.event_ids for s in group) else [i for s in group for i in s.event_ids]
             events = event_filter(event_log, log_name, ids, as_of, days_back)
-            candidates = spread_small(newest_n_per_source(events, max_events_per_source))
+            candidates = newest_n_per_source(events, max_events_per_source)
+            if sum(len(plan.pairs_of(s)) for s in group) >= MANY_RULES:
+                candidates = spread_small(candidates)
             scans.append(_scan_log(candidates, group, plan))
     if not scans:
-        return event_log.limit(0).select(*KEPT, F.array().cast("array<int>").alias("_hits"))
+        return event_log.limit(0).select(*KEPT, F.array().cast("array<bigint>").alias("_hits"))
     return reduce(DataFrame.unionByName, scans)
 
 
@@ -301,19 +311,25 @@ def detect_hits(
 
 
 def dedup_hits(events: DataFrame) -> DataFrame:
-    """Hit events in which each pair of a record (per host and log) is left only to the newest record that hit it.
+    """(event, pair) rows, one per host, source, rule file and record: the first rule of the file on the newest event.
 
     Works on events rather than findings, so that a long text moves once however many rules hit it. Copies of a record
     with the same hits are folded before they are moved; what is left of a record is then compared, newest first.
     """
+    def file_of(pair: Column) -> Column:
+        return F.floor(pair / FILE_STRIDE)
+
+    first_of_file = F.filter("_hits", lambda pair, i: (i == 0) | (file_of(F.get("_hits", i - 1)) != file_of(pair)))
     entries = F.array_sort(F.map_entries("event_data"))
     record = ["host", "log_name", "_record"]
     newest = events.select(
-        "host", "log_name", F.coalesce(F.col("record_id"), F.col("event_id").cast("long")).alias("_record"), "_hits",
-        F.struct("time_created", "event_id", entries.alias("entries")).alias("_row"),
+        "host", "log_name", F.coalesce(F.col("record_id"), F.col("event_id").cast("long")).alias("_record"),
+        first_of_file.alias("_hits"), F.struct("time_created", "event_id", entries.alias("entries")).alias("_row"),
     ).groupBy(*record, "_hits").agg(F.max("_row").alias("_row"))
     before = Window.partitionBy(*record).orderBy(F.col("_row").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    left = newest.withColumn("_hits", F.array_except("_hits", F.flatten(F.collect_list("_hits").over(before))))
+    seen = F.flatten(F.collect_list(F.transform("_hits", file_of)).over(before))
+    left = newest.withColumn("_seen", seen).withColumn(
+        "_hits", F.filter("_hits", lambda pair: ~F.array_contains(F.col("_seen"), file_of(pair))))
     return left.select(
         "host", "log_name", F.col("_row.event_id").alias("event_id"), F.col("_record").alias("record_id"),
         F.col("_row.time_created").alias("time_created"), F.map_from_entries("_row.entries").alias("event_data"),

@@ -222,7 +222,12 @@ def _narrow(
         if first is not None and seen < start + size:
             last, held = b, held + rows
         seen += rows
-    return table.filter(bucket.between(first or 0, last)), start - skipped, held
+    keep = F.lit(True)
+    if first:
+        keep = ~_before(keys, bounds[first - 1])
+    if last < len(bounds):
+        keep = keep & _before(keys, bounds[last])
+    return table.filter(keep), start - skipped, held
 
 
 def page(table: DataFrame, order: list[str], number: int, size: int = 25, deep: int = DEEP) -> DataFrame:
