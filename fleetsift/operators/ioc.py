@@ -60,7 +60,7 @@ def url_host(url: Column) -> Column:
 
 
 def parent_domains(host: Column) -> Column:
-    """A host name and all its parents: a.b.c, b.c, c."""
+    """A host name and all its parents: c, b.c, a.b.c."""
     return F.transform(F.sequence(F.lit(1), F.size(F.split(host, r"\."))), lambda n: F.call_function(
         "substring_index", host, F.lit("."), -n))
 

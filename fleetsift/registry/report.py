@@ -113,7 +113,8 @@ def artifact_counts(spark, d):
     return rep.artifact_counts({name: t.table(spark, d, name) for name in _ARTIFACTS})
 
 
-@query("page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 1950")
+@query("page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET "
+       "(SELECT CAST(least(39, greatest(ceil(count(*) / 50), 1) - 1) * 50 AS BIGINT) FROM orders)")
 def page(spark, d):
     return rep.page(t.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"], 40, 50)
 
@@ -125,7 +126,7 @@ def page_last(spark, d):
 
 
 @query("page_deep", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey DESC, "
-       "l_linenumber, l_partkey LIMIT 100 OFFSET 30000")
+       "l_linenumber, l_partkey LIMIT 100 OFFSET (SELECT CAST(least(300, greatest(ceil(count(*) / 100), 1) - 1) * 100 AS BIGINT) FROM lineitem)")
 def page_deep(spark, d):
     rows = t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return rep.page(rows, ["l_extendedprice", "-l_orderkey", "l_linenumber", "l_partkey"], 301, 100, deep=10_000)
