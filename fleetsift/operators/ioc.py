@@ -119,7 +119,8 @@ def _gram_join(rows: DataFrame, text: str, indicators: DataFrame) -> DataFrame:
     """Rows joined to the indicators they contain, for lists too long to ship to every task.
 
     Every indicator is filed under one of its grams, the one fewest other indicators share. Rows meet indicators through
-    a join on that gram, carrying only a row hash, and each meeting is then checked against the text itself.
+    a join on that gram, carrying only a row hash, and each meeting is then checked against the text itself. Equal rows
+    are folded into one for the joins and unfolded at the end.
     """
     n = F.least(F.length("needle"), F.lit(GRAM))
     needles = indicators.select("indicator", F.lower("indicator").alias("needle")).filter(F.col("needle") != "").distinct()
@@ -136,13 +137,16 @@ def _gram_join(rows: DataFrame, text: str, indicators: DataFrame) -> DataFrame:
         filed.join(shared, "_gram").groupBy("indicator", "needle")
         .agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
     )
-    keyed = rows.withColumn("_low", F.lower(F.coalesce(text, F.lit("")))).withColumn(
+    folded = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    keyed = folded.withColumn("_low", F.lower(F.coalesce(text, F.lit("")))).withColumn(
         "_row", F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in rows.columns])))
     pieces = [keyed.select("_row", F.explode(grams(F.col("_low"), size)).alias("_gram")) for size in sizes]
     meetings = salted_join(
-        reduce(DataFrame.unionByName, pieces).distinct(), anchors.select("indicator", "needle", "_gram"), ["_gram"], "inner"
+        reduce(DataFrame.unionByName, pieces), anchors.select("indicator", "needle", "_gram"), ["_gram"], "inner"
     ).select("_row", "indicator", "needle").distinct()
-    return keyed.join(meetings, "_row").filter(F.contains("_low", F.col("needle"))).drop("_row", "_low", "needle")
+    met = keyed.join(meetings, "_row").filter(F.contains("_low", F.col("needle")))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")
+    return met.select(*rows.columns, "indicator", copies).drop("_copy")
 
 
 def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str], max_shipped: int = MAX_LITERALS) -> DataFrame:
@@ -171,7 +175,7 @@ def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str]
 def ioc_text_match(captures: DataFrame, indicators: DataFrame | list[str], only: list[str] | None = None) -> DataFrame:
     """Distinct (indicator, source, line) triples of captured lines that contain an indicator."""
     lines = captures.filter(F.col("capture").isin(only)) if only is not None else captures
-    rows = lines.select(F.col("capture").alias("source"), "line").distinct()
+    rows = lines.select(F.col("capture").alias("source"), "line")
     return match_literals(rows, "line", indicators).select("indicator", "source", "line").distinct()
 
 

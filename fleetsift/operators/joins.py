@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 << 20
 SALTS = 16
+# A key is hot if one row in a thousand shows it a thousand times: about a million rows.
+SAMPLE_RATE = 0.001
+HOT_IN_SAMPLE = 1000
+MAX_HOT_KEYS = 1000
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -35,15 +41,32 @@ def is_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROA
     return seen["n"] <= rows and 4 * seen["b"] <= size
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, salts: int = SALTS) -> DataFrame:
-    """Equi-join in which the rows of one hot left key are spread over ``salts`` partitions.
+def hot_keys(df: DataFrame, keys: list[str], rate: float = SAMPLE_RATE, seen: int = HOT_IN_SAMPLE) -> list:
+    """Keys that a sample shows to hold very many rows, most frequent first. Only decides where rows go."""
+    counts = df.select(*keys).sample(rate, seed=11).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") >= seen).orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).select(*keys).collect()
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, salts: int = SALTS, rate: float = SAMPLE_RATE,
+    seen: int = HOT_IN_SAMPLE,
+) -> DataFrame:
+    """Equi-join in which the left rows of a hot key are spread over ``salts`` partitions.
 
-    The salt is a hash of the whole left row, so it is the same when a lost task runs again. The right side is
-    repeated once per salt, so it should hold few rows per key (a distinct list).
+    Only the right rows of hot keys are repeated. The salt is a hash of the whole left row, so it is the same when a
+    lost task runs again.
     """
+    hot = hot_keys(left, keys, rate, seen)
+    if not hot:
+        return left.join(right, keys, how)
+    # At most MAX_HOT_KEYS rows.
+    marks = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(left)]), F.lit(salts)).cast("int")
-    salted_left = left.withColumn("_salt", spread)
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    # Rows without a key match nothing, so they may go anywhere.
+    scattered = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys], F.coalesce("_hot", F.lit(False)))
+    salted_left = left.join(marks, keys, "left").withColumn("_salt", F.when(scattered, spread).otherwise(0)).drop("_hot")
+    salted_right = right.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -52,7 +75,8 @@ def _hashable(df: DataFrame) -> list[str]:
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", small: bool | None = None) -> DataFrame:
-    """Join rows to a lookup list by equal keys: broadcast when its size is checked, salted shuffle otherwise."""
+    """Join rows to a lookup list by equal keys: broadcast when its size is checked, a shuffle with hot keys salted
+    otherwise."""
     if is_small(right) if small is None else small:
         return left.join(F.broadcast(right), keys, how)
     return salted_join(left, right, keys, how)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetsift.operators import ioc
+from fleetsift.operators import history, ioc
+from fleetsift.operators.detect import detect, plan_scan
 from fleetsift.plans.rules import inject_values, rule_from_dict
 from fleetsift.registry import tables as t
 from fleetsift.registry.core import AS_OF, query
-from fleetsift.sources.lists import config_values, ioc_type
+from fleetsift.session import scratch_dir
+from fleetsift.sources.lists import config_values, ioc_type, scan_ioc_list
 
 WORDS = ["apache license", "TOKEN = ", "disgusting", "Pathetic", "555-", "die der die", "no such indicator"]
 _WORDS = "(VALUES " + ", ".join(f"('{w}')" for w in WORDS) + ") AS w(indicator)"
@@ -75,10 +77,8 @@ def ioc_feed_url_only(spark, d):
 @query("browser_ioc_only", f"SELECT page_id, url FROM history WHERE EXISTS (SELECT 1 FROM iocs WHERE kind = 'domain' AND {_BELOW})",
        "history iocs")
 def browser_ioc_only(spark, d):
-    from fleetsift.operators.history import browser_ioc_only as flagged
-
     visits = t.history(spark, d)
-    return flagged(visits, ioc.ioc_parent_domain(visits, t.iocs(spark, d))).select("page_id", "url")
+    return history.browser_ioc_only(visits, ioc.ioc_parent_domain(visits, t.iocs(spark, d))).select("page_id", "url")
 
 
 @query("ioc_network", "SELECT record_id, ip AS DestinationIp, indicator FROM ev_network JOIN iocs ON (kind = 'ip' AND ip = indicator) "
@@ -104,14 +104,10 @@ def ioc_script(spark, d):
     return ioc.ioc_script(docs.select("doc_id", "text"), listed, [" IS ", " de "], "text").select("doc_id", "indicator")
 
 
-@query("ioc_inject", f"SELECT doc_id AS \"RecordId\" FROM documents WHERE contains(lower(text), 'the') AND EXISTS (SELECT 1 FROM "
-       f"(SELECT DISTINCT {_ADDRESS} AS indicator FROM documents) WHERE indicator <> '' AND contains(text, indicator))")
+@query("ioc_inject", "SELECT doc_id AS \"RecordId\" FROM documents WHERE contains(lower(text), 'the') AND EXISTS (SELECT 1 FROM "
+       "(SELECT DISTINCT string_split(p_name, ' ')[2] AS indicator FROM part) WHERE contains(lower(text), indicator))")
 def ioc_inject(spark, d):
-    from fleetsift.operators.detect import detect, plan_scan
-
-    docs = t.table(spark, d, "documents")
-    address = F.regexp_extract("text", r"([0-9]{1,3}\.){3}[0-9]{1,3}", 0)
-    listed = docs.select(address.alias("indicator")).filter("indicator <> ''").distinct()
+    listed = t.table(spark, d, "part").select(F.split("p_name", " ")[1].alias("indicator"))
     values = ioc.driver_list(listed)
 
     def contains(*v):
@@ -159,9 +155,6 @@ def user_config(spark, d):
        "UNION SELECT DISTINCT regexp_extract(url, '([a-z0-9-]+\\.example\\.org)', 1) FROM pages WHERE contains(url, '.html')) i "
        "ON (host_name = i.indicator OR ends_with(host_name, concat('.', i.indicator))) WHERE i.indicator <> ''", "history iocs")
 def user_ioc(spark, d):
-    from fleetsift.session import scratch_dir
-    from fleetsift.sources.lists import scan_ioc_list
-
     pages = t.table(spark, d, "pages").filter(F.contains("url", F.lit(".html")))
     own = pages.select(F.upper(F.regexp_extract("url", r"([a-z0-9-]+\.example\.org)", 1)).alias("value")).filter("value <> ''")
     folder = scratch_dir(spark, "iocs")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from fleetsift.operators import detect as det
 from fleetsift.operators import ruleset as rs
-from fleetsift.plans.rules import rule_from_dict, rules_to_df
+from fleetsift.plans.rules import rule_from_dict, rules_from_df
 from fleetsift.registry import tables as t
 from fleetsift.registry.core import AS_OF, query, rulepack
-from fleetsift.schemas import SYSMON
+from fleetsift.schemas import SOURCE_CATALOG, SYSMON, Source, sources_from_catalog
+from fleetsift.session import scratch_dir
+from fleetsift.sources.rule_files import load_rules
 
 SCAN = {"as_of": AS_OF, "days_back": 11_000}
 _RANK = ("CASE lower(level) WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 "
@@ -196,27 +198,28 @@ def tag_rollup(spark, d):
     return det.tag_rollup(det.detect(t.event_log(spark, d), _plan(spark), **SCAN))
 
 
-@query("rule_errors", "SELECT concat('src_', s_nationkey) AS SourceId, concat('rules/', s_suppkey, '.json') AS RuleFile, "
-       "s_name AS RuleTitle FROM supplier WHERE s_acctbal < 0")
+@query("rule_errors", "SELECT DISTINCT concat('src_', s_nationkey) AS SourceId, concat('rules/', s_nationkey, '-', s_acctbal < 0, '.json') "
+       "AS RuleFile, 'near' AS RuleTitle FROM supplier WHERE s_acctbal < 0")
 def rule_errors(spark, d):
-    from fleetsift.schemas import Source
-
-    suppliers = t.table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name", "s_acctbal").collect()
-    rules = [rule_from_dict({
-        "title": r.s_name, "rule_file": f"rules/{r.s_suppkey}.json", "level": "high", "sources": [f"src_{r.s_nationkey}"],
-        "condition": {"type": "field", "field": "x", "operator": "near" if r.s_acctbal < 0 else "contains", "values": ["a"]},
-    }) for r in suppliers]
-    sources = [Source(f"src_{n}", "log", "c", (1,), {"x": ("eventdata", "x")}) for n in {r.s_nationkey for r in suppliers}]
-    plan = det.plan_scan(spark, rules, sources)
-    return det.rule_errors(spark, plan).select("SourceId", "RuleFile", "RuleTitle")
+    c, bad = F.col, F.col("s_acctbal") < 0
+    kinds = t.table(spark, d, "supplier").select("s_nationkey", bad.alias("bad")).distinct()
+    operator = F.when(c("bad"), "near").otherwise("contains")
+    nation = c("s_nationkey").cast("string")
+    meta = kinds.select(
+        nation.alias("rule_id"), operator.alias("title"), F.lit("high").alias("level"), F.lit("").alias("status"), F.lit("").alias("category"),
+        F.concat(F.lit("rules/"), nation, F.lit("-"), c("bad").cast("string"), F.lit(".json")).alias("rule_file"),
+        F.lit(True).alias("enabled"), F.array().cast("array<string>").alias("tags"),
+        F.array(F.concat(F.lit("src_"), nation)).alias("sources"), F.lit("{}").alias("items_json"),
+        F.to_json(F.struct(F.lit("field").alias("type"), F.lit("x").alias("field"), operator.alias("operator"),
+                           F.array(F.lit("a")).alias("values"))).alias("condition_json"))
+    rules = rules_from_df(meta)
+    sources = [Source(s, "log", "c", (1,), {"x": ("eventdata", "x")}) for s in sorted({r.sources[0] for r in rules})]
+    return det.rule_errors(spark, det.plan_scan(spark, rules, sources)).select("SourceId", "RuleFile", "RuleTitle")
 
 
 @query("user_rules", "SELECT w AS RuleTitle, count(*) AS findings FROM (SELECT DISTINCT string_split(p_name, ' ')[2] AS w FROM part) "
        "JOIN documents ON contains(lower(text), w) GROUP BY w")
 def user_rules(spark, d):
-    from fleetsift.session import scratch_dir
-    from fleetsift.sources.rule_files import load_rules
-
     words = t.table(spark, d, "part").select(F.split("p_name", " ")[1].alias("title")).distinct()
     item = F.struct(F.lit("field").alias("type"), F.lit("ScriptBlockText").alias("field"), F.lit("contains").alias("operator"),
                     F.array("title").alias("values"), F.lit(True).alias("ignore_case"))
@@ -234,15 +237,9 @@ def user_rules(spark, d):
 @query("user_sources", "SELECT host, record_id AS RecordId, 'Logon seen' AS RuleTitle FROM ev_security WHERE event_id IN (4624, 4625) "
        "AND starts_with(image, 'C:\\app\\e')", "ev_security")
 def user_sources(spark, d):
-    from fleetsift.schemas import SOURCE_CATALOG, sources_from_catalog
-
     rows = [("own_logons", "Security", "logon", [4624, 4625], {"Program": ("eventdata", "NewProcessName")})]
     sources = sources_from_catalog(spark.createDataFrame(rows, SOURCE_CATALOG))
     rule = rule_from_dict({"title": "Logon seen", "rule_file": "logon.json", "level": "low", "sources": ["OWN_logons"], "condition": {
         "type": "field", "field": "program", "operator": "startswith", "values": ["c:\\APP\\e"]}})
     plan = det.plan_scan(spark, [rule], sources, min_level="informational")
     return det.detect(t.event_log(spark, d), plan, **SCAN).select("host", "RecordId", "RuleTitle")
-
-
-def rulepack_table(spark):
-    return rules_to_df(spark, rulepack())

@@ -24,6 +24,9 @@ def test_lookup_gives_the_same_rows_either_way(spark, skewed, how):
     assert _rows(joins.lookup(skewed, side, ["k"], how, small=True)) == plain
     assert _rows(joins.lookup(skewed, side, ["k"], how, small=False)) == plain
     assert _rows(joins.lookup(skewed, side, ["k"], how)) == plain
+    assert [r.k for r in joins.hot_keys(skewed, ["k"], 1.0, 500)] == ["hot"]
+    salted = joins.salted_join(skewed, side, ["k"], how, rate=1.0, seen=30)
+    assert _rows(salted) == plain and "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_is_small(spark):
@@ -72,6 +75,8 @@ def test_literal_matching_agrees_with_brute_force(spark, monkeypatch, path):
     expected = {(i, n) for i, s in enumerate(texts) for n in needles if n and n.lower() in (s or "").lower()}
     rows = [(r.i, r.indicator) for r in got.collect()]
     assert set(rows) == expected and len(rows) == len(expected)
+    twice = ioc.match_literals(frame.union(frame), "s", listed, max_shipped=10 if path == "grams" else 1000)
+    assert twice.count() == 2 * len(expected)
 
 
 def test_hash_extract_and_match(spark):
