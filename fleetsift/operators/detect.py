@@ -18,6 +18,7 @@ from fleetsift.plans.rules import Options, Rule, RuleError, compile_rule, regexe
 from fleetsift.schemas import FINDING_COLUMNS, RULE_ERRORS, SOURCES, Source
 
 MANY_RULES = 50
+COMPILED_TESTS = 40
 # Pair ids are (number of the rule file in a source) * FILE_STRIDE + (position of the rule in the file).
 FILE_STRIDE = 1_000_000
 KEPT = ["host", "log_name", "event_id", "record_id", "time_created", "event_data"]
@@ -200,7 +201,14 @@ def rule_errors(spark: SparkSession, plan: ScanPlan) -> DataFrame:
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
 def _hit_array(tests: list[tuple[int, str]]) -> str:
-    """Ids of the tests that hold, as an array."""
+    """Ids of the tests that hold, as an array.
+
+    A few tests stay in generated code. Many of them would make a method too long for the JVM to compile, so they go
+    through ``array_compact``, which Spark evaluates as an expression tree.
+    """
+    if len(tests) <= COMPILED_TESTS:
+        flags = ", ".join(f"CASE WHEN {test} THEN {i}L ELSE -1L END" for i, test in tests)
+        return f"array_remove(array({flags}), -1L)"
     flags = ", ".join(f"CASE WHEN {test} THEN {i}L END" for i, test in tests)
     return f"array_compact(array({flags}))"
 
@@ -225,8 +233,8 @@ def _scan_log(events: DataFrame, sources: list[Source], plan: ScanPlan) -> DataF
     hits = per_source[0] if len(per_source) == 1 else F.concat(*per_source)
     # As the output of an outer explode, the array is made once per event; a plain filter on it would be pushed down
     # and run all rules a second time.
-    some = F.explode_outer(F.filter(F.array(hits), lambda found: F.size(found) > 0)).alias("_hits")
-    return scan.project(events, KEPT).select(*KEPT, some).filter(F.col("_hits").isNotNull())
+    made = F.explode_outer(F.array(hits)).alias("_hits")
+    return scan.project(events, KEPT).select(*KEPT, made).filter(F.size("_hits") > 0)
 
 
 def _by_log(plan: ScanPlan) -> dict[str, list[Source]]:
