@@ -158,6 +158,11 @@ class ScanPlan:
     errors: list[tuple[str, str, str, str]] = field(default_factory=list)
     options: Options = Options()
 
+    @property
+    def shared_files(self) -> bool:
+        """Whether some file of a source holds several rules."""
+        return any(i % FILE_STRIDE for i, _, _ in self.pairs)
+
     def pairs_of(self, source: Source) -> list[tuple[int, Rule]]:
         """Pairs of a source in the order of their ids, so that the rules of one file follow each other."""
         return [(i, rule) for i, s, rule in self.pairs if s.id == source.id]
@@ -318,26 +323,32 @@ def detect_hits(
     return events.select(*KEPT, F.explode("_hits").alias("_pair"))
 
 
-def dedup_hits(events: DataFrame) -> DataFrame:
+def dedup_hits(events: DataFrame, shared_files: bool = True) -> DataFrame:
     """(event, pair) rows, one per host, source, rule file and record: the first rule of the file on the newest event.
 
     Works on events rather than findings, so that a long text moves once however many rules hit it. Copies of a record
     with the same hits are folded before they are moved; what is left of a record is then compared, newest first.
+    Without ``shared_files`` every file is taken to hold one rule, so that a pair stands for its file.
     """
     def file_of(pair: Column) -> Column:
         return F.floor(pair / FILE_STRIDE)
 
-    first_of_file = F.filter("_hits", lambda pair, i: (i == 0) | (file_of(F.get("_hits", i - 1)) != file_of(pair)))
-    entries = F.array_sort(F.map_entries("event_data"))
+    hits = F.col("_hits")
+    if shared_files:
+        hits = F.filter(hits, lambda pair, i: (i == 0) | (file_of(F.get("_hits", i - 1)) != file_of(pair)))
+    entries = F.sort_array(F.map_entries("event_data"))
     record = ["host", "log_name", "_record"]
     newest = events.select(
         "host", "log_name", F.coalesce(F.col("record_id"), F.col("event_id").cast("long")).alias("_record"),
-        first_of_file.alias("_hits"), F.struct("time_created", "event_id", entries.alias("entries")).alias("_row"),
+        hits.alias("_hits"), F.struct("time_created", "event_id", entries.alias("entries")).alias("_row"),
     ).groupBy(*record, "_hits").agg(F.max("_row").alias("_row"))
     before = Window.partitionBy(*record).orderBy(F.col("_row").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.flatten(F.collect_list(F.transform("_hits", file_of)).over(before))
-    left = newest.withColumn("_seen", seen).withColumn(
-        "_hits", F.filter("_hits", lambda pair: ~F.array_contains(F.col("_seen"), file_of(pair))))
+    if shared_files:
+        seen = F.flatten(F.collect_list(F.transform("_hits", file_of)).over(before))
+        left = newest.withColumn("_seen", seen).withColumn(
+            "_hits", F.filter("_hits", lambda pair: ~F.array_contains(F.col("_seen"), file_of(pair))))
+    else:
+        left = newest.withColumn("_hits", F.array_except("_hits", F.flatten(F.collect_list("_hits").over(before))))
     return left.select(
         "host", "log_name", F.col("_row.event_id").alias("event_id"), F.col("_record").alias("record_id"),
         F.col("_row.time_created").alias("time_created"), F.map_from_entries("_row.entries").alias("event_data"),
@@ -352,7 +363,7 @@ def detect(
     """Findings of a whole scan, one per host, source, rule file and record unless ``dedup`` is off."""
     if dedup:
         events = hit_events(event_log, plan, as_of, days_back, max_events_per_source)
-        return project_finding(dedup_hits(events), plan)
+        return project_finding(dedup_hits(events, plan.shared_files), plan)
     return project_finding(detect_hits(event_log, plan, as_of, days_back, max_events_per_source), plan)
 
 
