@@ -10,22 +10,23 @@ of them run through one boundary. At an edge that no piece spans, such as before
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_CACHED = 1_000_000
+_CACHED = 400_000
 #: Characters up to which a segment is remembered; longer ones are streamed.
 _SHORT = 64
 
 
-def _runs(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:
+def _runs(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
     """The texts in runs of about so many characters, which bounds what is held at once."""
     run, held = [], 0
     for text in texts:
@@ -165,7 +166,7 @@ class Pieces:
             paths.add(top - (1 if ends[top] == -2 else len(self.text[ends[top]])) if top else 0)
         return paths.pop()
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each whole text: a space mark is put first, spaces become marks. Nothing for null and empty."""
         known = self.known
         for some in _runs(texts):
@@ -209,7 +210,7 @@ def encode(text: Column, model: bytes) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = _pieces(model)
         for texts in batches:
-            yield pd.Series(list(pieces.encode(texts.tolist())), dtype=object)
+            yield pd.Series(list(pieces.encode(texts)), dtype=object)
 
     return F.pandas_udf(run, "array<int>")(text)
 
@@ -232,19 +233,19 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """
     model = read_model(path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
-        for texts in batches:
-            ids = list(pieces.encode(texts.tolist()))
-            same = [pieces.decode(i.tolist()) == (x or "") for i, x in zip(ids, texts, strict=True)]
-            yield pd.DataFrame({"n_ids": [len(i) for i in ids], "ids": ids, "exact": same})
-
-    both = F.pandas_udf(_series_to_frame(run), "n_ids int, ids array<int>, exact boolean")
-    return docs.select("doc_id", both(F.col("text")).alias("e")).select("doc_id", "e.n_ids", "e.ids", "e.exact")
-
-
-def _series_to_frame(run):
-    def wrapped(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from run(batches)
-
-    return wrapped
+        for batch in batches:
+            at = 0
+            for texts in _runs(x.as_py() for x in batch.column("text")):
+                ids = list(pieces.encode(texts))
+                same = [pieces.decode(i.tolist()) == (x or "") for i, x in zip(ids, texts, strict=True)]
+                sizes = np.array([len(i) for i in ids], np.int32)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(ids)), pa.array(sizes), lists, pa.array(same)],
+                                                 names=["doc_id", "n_ids", "ids", "exact"])
+                at += len(ids)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids int, ids array<int>, exact boolean")
