@@ -139,11 +139,11 @@ def meet(left: np.ndarray, right: np.ndarray, radius: int, itself: bool) -> Iter
                     yield i, j
 
 
-def link(fps: DataFrame, *, radius: int = RADIUS, leaf: int = 4_096, sample: int = 16_384) -> DataFrame:
+def link(fps: DataFrame, *, radius: int = RADIUS, leaf: int = 32_768, cap: int = 16_384, sample: int = 16_384) -> DataFrame:
     """(fp, component_id) for all fingerprints of (doc_id, fp); component_id is the smallest doc_id reachable by links.
 
     Equal fingerprints are one node. The tree has leaves of about ``leaf`` nodes, as far as a sample of ``sample`` fingerprints, taken by
-    hash, can shape them; a leaf that still is larger is dealt to several tasks. Rows with a null doc_id do not link.
+    hash, can shape them; a leaf with more than ``cap`` residents or visitors is dealt to several tasks. Rows with a null doc_id do not link.
     """
     nodes = materialise(fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprints")
     n = nodes.count()
@@ -161,7 +161,7 @@ def link(fps: DataFrame, *, radius: int = RADIUS, leaf: int = 4_096, sample: int
                                              names=["leaf", "visits", "fp", "node"])
 
     placed = materialise(nodes.mapInArrow(routed, "leaf int, visits boolean, fp long, node long"), "routed")
-    tasks = split_groups(placed, ["leaf"], "fp", "visits", 16 * leaf)
+    tasks = split_groups(placed, ["leaf"], "fp", "visits", cap)
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]

@@ -45,6 +45,11 @@ class Counter:
                 self.known[piece] = n
         return n
 
+    def runs(self, text: str) -> list[tuple[int, int]]:
+        """(characters, tokens) of all pre-tokens."""
+        known, count = self.known, self.count
+        return [(len(p), known[p] if p in known else count(p)) for p in self.pattern.findall(text)]
+
     def pieces(self, text: str, start: int = 0) -> Iterator[str]:
         for match in self.pattern.finditer(text, start):
             yield match.group()
@@ -81,7 +86,7 @@ class Document:
 
     def __init__(self, text: str | None, counter: Counter):
         self.text, self.counter = text or "", counter
-        self.root = build([(len(p), counter.count(p)) for p in counter.pieces(self.text)])
+        self.root = build(counter.runs(self.text))
         self.encoded = len(self.text)
 
     @property

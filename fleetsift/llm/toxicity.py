@@ -85,19 +85,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, bits: int
     """
 
     def buckets(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: np.array(sorted({b for w in words(x) for b in buckets_of(w, bits)}), dtype=np.int32))
+        return texts.map(lambda x: np.array(sorted({b for w in words(x) for b in buckets_of(w, bits)}), dtype=np.int32).tobytes())
 
     sample = labelled_sample(docs, labels, max_rows)
-    rows = sample.select("doc_id", "toxic", F.pandas_udf(buckets, "array<int>")("text").alias("b")) \
+    rows = sample.select("doc_id", "toxic", F.pandas_udf(buckets, "binary")("text").alias("b")) \
         .filter(F.col("doc_id").isNotNull()).collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id), seed), r.doc_id, r.b))
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id), seed), r.doc_id, bytes(r.b)))
     y = np.array([float(r.toxic > 0) for r in rows])
     empty = np.full(2**bits, -1, np.int32)
     if not 0 < y.sum() < len(y):
         share = 0.0 if not len(y) else (y.sum() + 0.5) / (len(y) + 1)
         bias = float(np.log(share / (1 - share))) if share else -np.inf
         return Machine(bits, bias, empty, np.zeros(0), np.zeros((0, rank)))
-    ids = [np.asarray(r.b, np.int64) for r in rows]
+    ids = [np.frombuffer(r.b, np.int32).astype(np.int64) for r in rows]
     slots = _select(ids, y, 2**bits, min_rows, max_terms, contrast)
     active = [a[a >= 0] for a in (slots[i] for i in ids)]
     bias, linear, factors = _train(active, y, int(slots.max()) + 1, rank, epochs, seed)

@@ -37,10 +37,23 @@ def intervals(entries: DataFrame) -> DataFrame:
     known = entries.filter("kind IS NOT NULL AND value IS NOT NULL AND action IN ('add', 'remove') AND at IS NOT NULL")
     state = F.when(F.col("action") == "remove", 0).when(F.col("verdict") == "allow", 1).otherwise(2)
     # one state per time: the strongest; then only its changes, each up to the next change
-    marks = known.groupBy("list", "kind", "value", "at").agg(F.max(state).alias("state"))
-    line = Window.partitionBy("list", "kind", "value").orderBy("at")
-    changed = marks.withColumn("was", F.coalesce(F.lag("state").over(line), F.lit(0))).filter("state <> was")
-    spans = changed.withColumn("valid_to", F.lead("at").over(line)).filter("state > 0")
+    key = F.to_json(F.struct("list", "kind", "value"))
+    marks = materialise(known.groupBy("list", "kind", "value", "at").agg(F.max(state).alias("state")).withColumn("key", key), "marks")
+    # The marks of a frequent key are cut in as many slices of time as a slice has marks. What a slice needs from those around it
+    # is one row for each slice: the last state before it and the first change after it.
+    seconds = F.unix_seconds("at")
+    busy = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(seconds).alias("first"), F.max(seconds).alias("last")).filter("n > 64")
+    busy = materialise(busy.select("key", "first", F.ceil((F.col("last") - F.col("first") + 1) / F.sqrt("n")).alias("width")), "busy")
+    sliced = materialise(marks.join(busy, "key", "left").withColumn("slice", F.coalesce(F.floor((seconds - F.col("first")) / F.col("width")), F.lit(0)))
+                         .drop("first", "width"), "marks")
+    of_key, of_slice = Window.partitionBy("key").orderBy("slice"), Window.partitionBy("key", "slice").orderBy("at")
+    ends = sliced.groupBy("key", "slice").agg(F.max_by("state", "at").alias("end"))
+    ends = materialise(ends.select("key", "slice", F.coalesce(F.lag("end").over(of_key), F.lit(0)).alias("carried")), "ends")
+    changed = sliced.join(ends, ["key", "slice"]).withColumn("was", F.coalesce(F.lag("state").over(of_slice), "carried")).filter("state <> was")
+    changed = materialise(changed.drop("carried", "was"), "changes")
+    starts = changed.groupBy("key", "slice").agg(F.min("at").alias("start"))
+    starts = materialise(starts.select("key", "slice", F.lead("start").over(of_key).alias("later")), "starts")
+    spans = changed.join(starts, ["key", "slice"]).withColumn("valid_to", F.coalesce(F.lead("at").over(of_slice), "later")).filter("state > 0")
     return spans.select("list", "kind", "value", F.when(F.col("state") == 1, "allow").otherwise("block").alias("verdict"),
                         F.col("at").alias("valid_from"), "valid_to")
 
@@ -82,17 +95,14 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     spans = materialise(intervals(entries), "intervals")
     asked = captures.select("url", F.col("fetched_at").alias("at")).filter("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
     asked = materialise(asked.withColumns({"host": host(F.col("url")), "plain": plain(F.col("url"))}), "captures")
-    # each distinct host is expanded to its parent domains once, and gets the spans of all entries that name it
-    names = asked.select("host").filter("host IS NOT NULL").distinct()
+    # a capture asks for its URL, its host, and its host with all parent domains
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    names = F.concat(F.array(F.concat(F.lit("url:"), F.col("plain"))), F.when(F.col("host").isNull(), F.array().cast("array<string>")).otherwise(
+        F.concat(F.array(F.concat(F.lit("host:"), F.col("host"))), F.transform(parents, lambda p: F.concat(F.lit("domain:"), p)))))
     rank = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("kind")]
-    wide = names.withColumn("value", F.explode(parents)).join(spans.filter("kind = 'domain'"), "value")
-    exact = spans.filter("kind = 'host'").join(names.withColumn("value", F.col("host")), "value")
-    by_host = wide.select("host", *spans.columns).union(exact.select("host", *spans.columns))
-    by_url = spans.filter("kind = 'url'").withColumn("plain", F.col("value"))
-    hits = as_of(asked.filter("host IS NOT NULL"), by_host.select("host", *spans.columns), "host").drop("host", "plain").union(
-        as_of(asked, by_url, "plain").drop("host", "plain"))
+    keyed = spans.withColumn("name", F.concat_ws(":", "kind", "value"))
+    hits = as_of(asked.select("url", "at", F.explode(names).alias("name")), keyed, "name").drop("name")
     best = F.struct((-rank).alias("a"), (-F.length("value")).alias("b"), (F.col("verdict") != "allow").alias("c"), F.col("list"), F.col("kind"),
                     F.col("value"), F.col("verdict"), F.col("valid_from"), F.col("valid_to"))
     chosen = materialise(hits.groupBy("url", "at").agg(F.min(best).alias("e")), "verdicts")

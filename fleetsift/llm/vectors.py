@@ -113,15 +113,16 @@ def duplicates(embeddings: DataFrame, *, cosine: float = COSINE, cell: int = 4_0
         F.lit(1), F.ceil(F.log2(F.count(F.lit(1)) / cell)))).cast("int").alias("deep"))
     sized = nodes.join(materialise(deep, "labels"), ["label", "width"])
     label_type = dict(nodes.dtypes)["label"]
-    schema = f"label {label_type}, width int, block int, cell string, visits boolean, node long, copies long, embedding array<double>"
+    kind = dict(nodes.dtypes)["embedding"]
+    schema = f"label {label_type}, width int, block int, cell string, visits boolean, node long, copies long, embedding {kind}"
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frame = batch.to_pandas()
             for (width, deep), rows in frame.groupby(["width", "deep"]):
-                yield from _cells(rows, int(width), int(deep), cosine, batch.schema.field("label").type)
+                yield from _cells(rows, int(width), int(deep), cosine, batch.schema.field("label").type, batch.schema.field("embedding").type)
 
-    placed = materialise(sized.select("label", "width", "deep", "node", "copies", F.col("embedding").cast("array<double>").alias("embedding"))
+    placed = materialise(sized.select("label", "width", "deep", "node", "copies", "embedding")
                          .mapInArrow(routed, schema), "cells")
     group = ["label", "width", "block", "cell"]
     tasks = split_groups(placed, group, "node", "visits", 2 * cell)
@@ -168,7 +169,8 @@ def _shared(valid: DataFrame) -> DataFrame:
     return both.select("vec_id", "node").filter("vec_id <> node")
 
 
-def _cells(rows: pd.DataFrame, width: int, deep: int, cosine: float, label_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _cells(rows: pd.DataFrame, width: int, deep: int, cosine: float, label_type: pa.DataType,
+           vector_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     vectors = matrix(rows.embedding)
     turned = rotated(vectors)
     blocks = turned.shape[1] // BLOCK
@@ -190,5 +192,5 @@ def _cells(rows: pd.DataFrame, width: int, deep: int, cosine: float, label_type:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(rows.label.to_numpy()[some], label_type), pa.array(np.full(n, width), pa.int32()), pa.array(np.full(n, block), pa.int32()),
                     pa.array(names[start:start + 4_096], pa.string()), pa.array(np.full(n, bool(step.any()))), pa.array(rows.node.to_numpy()[some], pa.int64()),
-                    pa.array(rows.copies.to_numpy()[some], pa.int64()), pa.array(list(vectors[some]), pa.list_(pa.float64()))],
+                    pa.array(rows.copies.to_numpy()[some], pa.int64()), pa.array(rows.embedding.iloc[some].tolist(), vector_type)],
                     names=["label", "width", "block", "cell", "visits", "node", "copies", "embedding"])
