@@ -145,13 +145,13 @@ def _fold(members: Column, seed: int) -> Column:
 
 def mixed(docs: DataFrame, chunk: int = 256, seed: int = 11) -> DataFrame:
     """The mix itself: each row of ``docs``, with its columns, as often as it is taken."""
-    key, n, copies = fresh(docs, "key", "n", "copies")
+    key, n, copies, p_id, p_key, p_source = fresh(docs, "key", "n", "copies", "p_id", "p_key", "p_source")
     plan = mix(docs, chunk, seed).groupBy("doc_id", "key", "source").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("copy", "copies"))), lambda x: x["copies"]).alias(copies))
-    plan = materialise(plan.select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), F.col("source").alias("p_source"), copies), "mix")
+    plan = materialise(plan.select(F.col("doc_id").alias(p_id), F.col("key").alias(p_key), F.col("source").alias(p_source), copies), "mix")
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["p_id"]) & (keyed[key] == plan["p_key"])
-                        & keyed["source"].eqNullSafe(plan["p_source"])).drop("p_id", "p_key", "p_source")
+    joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan[p_id]) & (keyed[key] == plan[p_key])
+                        & keyed["source"].eqNullSafe(plan[p_source])).drop(p_id, p_key, p_source)
     others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
     same = Window.partitionBy("doc_id", key, "source").orderBy(*(others or [key]))
     counted = joined.withColumn(n, F.row_number().over(same)).withColumn(n, F.element_at(copies, F.col(n)))
