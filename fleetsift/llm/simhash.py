@@ -139,7 +139,7 @@ def meet(left: np.ndarray, right: np.ndarray, radius: int, itself: bool) -> Iter
                     yield i, j
 
 
-def link(fps: DataFrame, *, radius: int = RADIUS, leaf: int = 32_768, cap: int = 16_384, sample: int = 16_384) -> DataFrame:
+def link(fps: DataFrame, *, radius: int = RADIUS, leaf: int = 32_768, cap: int = 65_536, sample: int = 16_384) -> DataFrame:
     """(fp, component_id) for all fingerprints of (doc_id, fp); component_id is the smallest doc_id reachable by links.
 
     Equal fingerprints are one node. The tree has leaves of about ``leaf`` nodes, as far as a sample of ``sample`` fingerprints, taken by

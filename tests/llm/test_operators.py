@@ -279,7 +279,7 @@ def _fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize(("leaf", "cap"), [(4, 3), (32_768, 16_384)])
+@pytest.mark.parametrize(("leaf", "cap"), [(4, 3), (32_768, 65_536)])
 def test_simhash_equals_brute_force(spark, leaf, cap):
     r = random.Random(2)
     rows = [(x.doc_id, x.text, x.lang, x.source) for x in _documents(spark).collect()]
