@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from fleetsift.functions.literals import can_index, literal_ids
 from fleetsift.functions.matching import BLANK, VIEWS, Views, bad_patterns, quoted, rlike, text
-from fleetsift.operators.joins import newest_n, spread_small
+from fleetsift.operators.joins import newest_n
 from fleetsift.operators.ruleset import live_rules, pick_sources
 from fleetsift.plans.rules import Options, Rule, RuleError, compile_rule, regexes
 from fleetsift.schemas import FINDING_COLUMNS, RULE_ERRORS, SOURCES, Source
 
-MANY_RULES = 50
 COMPILED_TESTS = 40
 # Pair ids are (number of the rule file in a source) * FILE_STRIDE + (position of the rule in the file).
 FILE_STRIDE = 1_000_000
@@ -200,7 +199,8 @@ def plan_scan(
 
 def rule_errors(spark: SparkSession, plan: ScanPlan) -> DataFrame:
     """Rules left out of the scan, once per source and rule file."""
-    return spark.createDataFrame(plan.errors, RULE_ERRORS).dropDuplicates(["SourceId", "RuleFile"])
+    first = {(source, file): row for row in reversed(plan.errors) for source, file in [row[:2]]}
+    return spark.createDataFrame(list(first.values()), RULE_ERRORS)
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
@@ -307,8 +307,6 @@ def hit_events(
             ids = [] if any(not s.event_ids for s in group) else [i for s in group for i in s.event_ids]
             events = event_filter(event_log, log_name, ids, as_of, days_back)
             candidates = newest_n_per_source(events, max_events_per_source)
-            if sum(len(plan.pairs_of(s)) for s in group) >= MANY_RULES:
-                candidates = spread_small(candidates)
             scans.append(_scan_log(candidates, group, plan))
     if not scans:
         return event_log.limit(0).select(*KEPT, F.array().cast("array<bigint>").alias("_hits"))

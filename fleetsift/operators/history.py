@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,9 @@ def carry_forward(rows: DataFrame, value: str, group: list[str], position: str,
         chunked.groupBy(*group, "_chunk").agg(last.alias("_last"))
         .withColumn("_before", F.last("_last", ignorenulls=True).over(across)).select(*group, "_chunk", "_before")
     )
-    return local.join(before, [*group, "_chunk"]).withColumn(into, F.coalesce("_local", "_before")).drop(
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*group, "_chunk")]
+    joined = local.alias("a").join(before.alias("b"), reduce(lambda x, y: x & y, same)).select("a.*", "b._before")
+    return joined.withColumn(into, F.coalesce("_local", "_before")).drop(
         "_chunk", "_local", "_before")
 
 

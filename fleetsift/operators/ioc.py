@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsift.functions.literals import MAX_LITERAL_BYTES, MAX_LITERALS, literal_ids
-from fleetsift.operators.joins import is_small, lookup, salted_join, spread_small
+from fleetsift.operators.joins import is_small, lookup, salted_join
 from fleetsift.operators.logs import days_before
 
 BROWSERS = ["chrome.exe", "msedge.exe", "firefox.exe", "iexplore.exe", "opera.exe", "brave.exe"]
@@ -97,7 +97,7 @@ def ioc_feed_url_only(history: DataFrame, iocs: DataFrame) -> DataFrame:
 
 
 def ioc_network(connections: DataFrame, iocs: DataFrame, browsers: list[str] = BROWSERS) -> DataFrame:
-    """Outbound connections of non-browser processes to a listed address or domain.
+    """Outbound connections of non-browser processes to an address or domain of the custom list.
 
     Reads ``Image``, ``DestinationIp``, ``DestinationHostname`` and ``Initiated``.
     """
@@ -105,7 +105,8 @@ def ioc_network(connections: DataFrame, iocs: DataFrame, browsers: list[str] = B
     outbound = connections.filter((F.lower("Initiated") == "true") & ~image.isin(browsers))
     hostname = F.lower(F.coalesce("DestinationHostname", F.lit("")))
     targets = F.array_distinct(F.concat(F.array(F.lower(F.coalesce("DestinationIp", F.lit("")))), parent_domains(hostname)))
-    return lookup(spread_small(outbound).withColumn("indicator", F.explode(targets)), _kind(iocs, "domain", "ip"), ["indicator"])
+    own = _kind(iocs.filter(F.col("list") == "custom"), "domain", "ip")
+    return lookup(outbound.withColumn("indicator", F.explode(targets)), own, ["indicator"])
 
 
 # --- literals in text -------------------------------------------------------------------------------------------------
@@ -165,7 +166,7 @@ def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str]
     needles = list(spelled)
     if not needles:
         return rows.withColumn("indicator", F.lit(None).cast("string")).limit(0)
-    low = spread_small(rows).withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
+    low = rows.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
     hit = low.withColumn("_id", F.explode_outer(literal_ids(F.col("_low"), needles))).filter(F.col("_id").isNotNull()).drop("_low")
     names = rows.sparkSession.createDataFrame(
         [(i, name) for i, needle in enumerate(needles) for name in spelled[needle]], "_id int, indicator string")

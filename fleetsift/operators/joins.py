@@ -17,21 +17,6 @@ HOT_IN_SAMPLE = 1000
 MAX_HOT_KEYS = 1000
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a scan that is too small to fill the cores evenly over all of them, ahead of work that is bound by CPU.
-
-    A scan estimated at one read split per core or more is left as it is, so large tables are never shuffled for this.
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < split * cores else df
-
-
 def is_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether a DataFrame is within the broadcast limits. Reads no more than ``rows + 1`` rows of it."""
     width = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
@@ -87,7 +72,8 @@ def newest_n(df: DataFrame, keys: list[str], order: list[Column], n: int, salts:
 
     A hot group is first cut down within ``salts`` slices, so that its last step ranks at most ``salts * n`` rows.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(df)]), F.lit(salts)).cast("int")
+    # by input split, so that the salt reads no column; the order alone decides which rows are kept
+    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
     slices = Window.partitionBy(*keys, "_salt").orderBy(*order)
     groups = Window.partitionBy(*keys).orderBy(*order)
     cut = df.withColumn("_salt", spread).withColumn("_rank", F.row_number().over(slices)).filter(F.col("_rank") <= n)

@@ -9,7 +9,7 @@ from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetsift.functions.matching import OPERATORS, UnknownOperator, Views, all_of, any_of, java_regex, match_sql
+from fleetsift.functions.matching import OPERATORS, UnknownOperator, Views, all_of, any_of, java_regex, match_sql, windash_values
 from fleetsift.schemas import RULE_META
 
 # Severity ranks.
@@ -125,15 +125,22 @@ def field_nodes(rule: Rule) -> list[dict]:
     return found
 
 
+def _folds(node: dict) -> bool:
+    """Whether a matcher ignores case; an absent or null flag means yes."""
+    flag = node.get("ignore_case")
+    return True if flag is None else bool(flag)
+
+
 def regexes(rules: Iterable[Rule]) -> list[str]:
     """Distinct regexes of the rules, as handed to Spark."""
     out: dict[str, None] = {}
     for rule in rules:
         for node in field_nodes(rule):
             if str(node.get("operator", "")).lower() == "re":
-                fold = bool(node.get("ignore_case", True))
+                windash = bool(node.get("windash")) and _kind(node) == "field"
                 for value in _strings(node.get("values")):
-                    out[java_regex(value, fold)] = None
+                    for variant in windash_values(value, windash):
+                        out[java_regex(variant, _folds(node))] = None
     return list(out)
 
 
@@ -179,12 +186,11 @@ def compile_expression(
         operator = str(node.get("operator", "")).lower()
         if operator not in OPERATORS:
             raise RuleError(f"unknown operator {operator!r}")
-        ignore_case = node.get("ignore_case")
         return match_sql(
             raw_views() if is_raw else views_of(str(node.get("field", ""))), operator,
             values=node.get("values"), match=node.get("match") or "any",
             windash=bool(node.get("windash")) and not is_raw,
-            ignore_case=True if ignore_case is None else bool(ignore_case), keep_empty=is_raw,
+            ignore_case=_folds(node), keep_empty=is_raw,
             honour_escapes=options.honour_escapes, singleline=options.singleline, rejected=options.rejected,
         )
     return "false"

@@ -74,16 +74,16 @@ def ioc_feed_url_only(spark, d):
     return ioc.ioc_feed_url_only(t.history(spark, d), t.iocs(spark, d)).select("page_id", "indicator", "layer")
 
 
-@query("browser_ioc_only", f"SELECT page_id, url FROM history WHERE EXISTS (SELECT 1 FROM iocs WHERE kind = 'domain' AND {_BELOW})",
+@query("browser_ioc_only", f"SELECT page_id, url FROM history WHERE EXISTS (SELECT 1 FROM iocs WHERE kind = 'domain' AND list = 'custom' AND {_BELOW})",
        "history iocs")
 def browser_ioc_only(spark, d):
     visits = t.history(spark, d)
-    return history.browser_ioc_only(visits, ioc.ioc_parent_domain(visits, t.iocs(spark, d))).select("page_id", "url")
+    return history.browser_ioc_only(visits, ioc.ioc_parent_domain(visits, t.iocs(spark, d).filter("list = 'custom'"))).select("page_id", "url")
 
 
 @query("ioc_network", "SELECT record_id, ip AS DestinationIp, indicator FROM ev_network JOIN iocs ON (kind = 'ip' AND ip = indicator) "
        "OR (kind = 'domain' AND (hostname = indicator OR ends_with(hostname, concat('.', indicator)))) "
-       "WHERE initiated = 'true' AND NOT ends_with(image, 'chrome.exe')", "ev_network iocs")
+       "WHERE list = 'custom' AND initiated = 'true' AND NOT ends_with(image, 'chrome.exe')", "ev_network iocs")
 def ioc_network(spark, d):
     data = F.col("event_data")
     events = t.ev_network(spark, d).select(

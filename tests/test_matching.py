@@ -118,3 +118,13 @@ def test_compile_errors():
     warnings = []
     assert compile_expression({"type": "not"}, {}, Views, lambda: Views("''"), Options(), warnings) == "(NOT false)"
     assert len(warnings) == 1
+
+
+def test_collected_regexes_are_those_that_run():
+    from fleetsift.functions.matching import java_regex, windash_values
+    from fleetsift.plans.rules import regexes, rule_from_dict
+
+    node = {"type": "field", "field": "f", "operator": "re", "values": ["[+/*]", "("], "ignore_case": None, "windash": True}
+    rule = rule_from_dict({"title": "t", "rule_file": "t.json", "level": "low", "sources": ["x"], "items": {"a": node},
+                           "condition": {"type": "item_ref", "name": "a"}})
+    assert set(regexes([rule])) == {java_regex(v, True) for value in node["values"] for v in windash_values(value, True)}

@@ -160,3 +160,9 @@ def test_date_helpers(spark):
     cases = {"2024-02-29": True, "2023-02-29": False, "2024-01-01 10:00:00": True, "yesterday": False, "": False}
     rows = spark.createDataFrame([(v,) for v in cases], "v string").select("v", logs.valid_date(F.col("v")).alias("ok")).collect()
     assert {r.v: r.ok for r in rows} == cases
+
+
+def test_carry_forward_keeps_rows_without_a_group(spark):
+    rows = [(None, 1, "a"), (None, 2, None), ("h", 1, "b"), ("h", 2, None)]
+    got = history.carry_forward(spark.createDataFrame(rows, "h string, i int, v string"), "v", ["h"], "i", "f")
+    assert sorted(((r.h, r.i, r.f) for r in got.collect()), key=str) == sorted([(None, 1, "a"), (None, 2, "a"), ("h", 1, "b"), ("h", 2, "b")], key=str)
