@@ -11,6 +11,8 @@ import os
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from fleetsift.operators.detect import detect, plan_scan
 from fleetsift.plans.rules import rule_from_dict
 from fleetsift.registry import load, tables
@@ -28,8 +30,8 @@ HEADLINE = [
 
 def rules_280(spark, sf_dir):
     """280 rules of three ``contains`` and not three ``endswith`` over all documents."""
-    texts = [r.text for r in tables.table(spark, sf_dir, "benchmark").select("text").collect()]
-    words = sorted({w.lower() for text in texts for w in re.findall(r"\w{6,}", text)})
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w{6,}"), F.lit(0))).alias("word")
+    words = [r.word for r in tables.table(spark, sf_dir, "benchmark").select(found).distinct().orderBy("word").limit(5000).collect()]
 
     def field(operator, values):
         return {"type": "field", "field": "ScriptBlockText", "operator": operator, "values": values}

@@ -48,7 +48,8 @@ def _v6_parser():
 
     @F.pandas_udf("string")
     def parse(addresses: pd.Series) -> pd.Series:
-        return addresses.map(hex32)
+        parsed = {a: hex32(a) for a in set(addresses)}
+        return pd.Series([parsed[a] for a in addresses], dtype=object)
 
     return parse
 

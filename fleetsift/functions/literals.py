@@ -7,37 +7,52 @@ reports all literals in one pass, so its cost does not grow with the list. Below
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # the built-in path gives the same rows
-    ahocorasick = None
-
 INDEX_FROM = 64
 MAX_LITERALS = 100_000
 MAX_LITERAL_BYTES = 16 << 20
 
 
+# Automata of this worker process by the digest of their literals; a task finds those that earlier tasks have built.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+_MOST_BUILT = 8
+
+
+def can_ship(literals: list[str]) -> bool:
+    """Whether the list is small enough to travel with every task."""
+    return len(literals) <= MAX_LITERALS and sum(len(x.encode("utf-8", "surrogatepass")) for x in literals) <= MAX_LITERAL_BYTES
+
+
 def can_index(literals: list[str]) -> bool:
     """Whether the list is worth an automaton and small enough to ship with every task."""
-    return (
-        ahocorasick is not None and INDEX_FROM <= len(literals) <= MAX_LITERALS
-        and sum(map(len, literals)) <= MAX_LITERAL_BYTES
-    )
+    return len(literals) >= INDEX_FROM and can_ship(literals)
 
 
-def _search(literals: list[str]):
-    @F.pandas_udf("array<int>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _automaton(digest: str, literals: list[str]) -> ahocorasick.Automaton:
+    if digest not in _BUILT:
+        if len(_BUILT) >= _MOST_BUILT:
+            _BUILT.clear()
         automaton = ahocorasick.Automaton()
         for i, literal in enumerate(literals):
             automaton.add_word(literal, i)
         automaton.make_automaton()
+        _BUILT[digest] = automaton
+    return _BUILT[digest]
+
+
+def _search(literals: list[str]):
+    digest = hashlib.sha256("\0".join(literals).encode("utf-8", "surrogatepass")).hexdigest()
+
+    @F.pandas_udf("array<int>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = _automaton(digest, literals)
         for texts in batches:
             yield texts.map(lambda t: list({i for _, i in automaton.iter(t)}) if t else [])
 

@@ -373,21 +373,33 @@ def report_columns(findings: DataFrame) -> DataFrame:
 def scan_stats(
     event_log: DataFrame, plan: ScanPlan, as_of: str | datetime, days_back: int = 30, max_events_per_source: int = 0
 ) -> DataFrame:
-    """Per source: candidates found, candidates scanned under the cap, and whether some host reached the cap.
+    """Per source with live rules: candidates found, candidates scanned under the cap, and whether some host reached it.
 
-    The cap is per host, so the counts are taken per host first and need no ranking of events.
+    The cap is per host, so the counts are taken per host first and need no ranking of events. One pass counts the
+    events of each log, id and host; these counts then meet the sources. A source without candidates has zeros.
     """
-    cap = max_events_per_source
-    parts = []
-    for source in plan.sources:
-        events = event_filter(event_log, source.log_name, source.event_ids, as_of, days_back)
-        parts.append(events.select(F.lit(source.id).alias("SourceId"), "host"))
-    per_host = reduce(DataFrame.unionByName, parts).groupBy("SourceId", "host").agg(F.count(F.lit(1)).alias("n"))
+    cap, spark = max_events_per_source, event_log.sparkSession
+    live = [s for sources in _by_log(plan).values() for s in sources]
+    as_of = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    since = time_literal(event_log, "time_created", as_of - timedelta(days=days_back))
+    wanted = reduce(lambda a, b: a | b, [
+        (F.col("log_name") == s.log_name) & (F.col("event_id").isin(list(s.event_ids)) if s.event_ids else F.lit(True)) for s in live
+    ], F.lit(False))
+    counts = event_log.filter(wanted & (F.col("time_created") >= since)).groupBy("log_name", "event_id", "host").agg(
+        F.count(F.lit(1)).alias("n"))
+    # A few rows per source of a catalog that was compiled on this driver.
+    listed = spark.createDataFrame(
+        [(s.id, s.log_name, i) for s in live for i in sorted(set(s.event_ids)) or [None]], "SourceId string, _log string, _id int")
+    met = (F.col("log_name") == F.col("_log")) & (F.col("_id").isNull() | (F.col("_id") == F.col("event_id")))
+    per_host = counts.join(F.broadcast(listed), met).groupBy("SourceId", "host").agg(F.sum("n").alias("n"))
     scanned = F.least(F.col("n"), F.lit(cap)) if cap > 0 else F.col("n")
-    return per_host.groupBy("SourceId").agg(
+    found = per_host.groupBy("SourceId").agg(
         F.sum("n").alias("found"), F.sum(scanned).alias("scanned"),
         (F.max((F.col("n") >= cap).cast("int")) == 1 if cap > 0 else F.lit(False)).alias("cap_reached"),
     )
+    return spark.createDataFrame([(s.id,) for s in live], "SourceId string").join(found, "SourceId", "left").select(
+        "SourceId", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("scanned", F.lit(0)).alias("scanned"),
+        F.coalesce("cap_reached", F.lit(False)).alias("cap_reached"))
 
 
 def tag_rollup(findings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsift.functions.literals import MAX_LITERAL_BYTES, MAX_LITERALS, literal_ids
+from fleetsift.functions.literals import MAX_LITERAL_BYTES, MAX_LITERALS, can_ship, literal_ids
 from fleetsift.operators.joins import is_small, lookup, salted_join
 from fleetsift.operators.logs import days_before
 
@@ -164,6 +164,9 @@ def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str]
     for indicator in dict.fromkeys(i for i in indicators if i):
         spelled.setdefault(indicator.lower(), []).append(indicator)
     needles = list(spelled)
+    if not can_ship(needles):
+        return _gram_join(rows, text, rows.sparkSession.createDataFrame(
+            [(name,) for names in spelled.values() for name in names], "indicator string"))
     if not needles:
         return rows.withColumn("indicator", F.lit(None).cast("string")).limit(0)
     low = rows.withColumn("_low", F.lower(F.coalesce(text, F.lit(""))))
@@ -174,10 +177,10 @@ def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str]
 
 
 def ioc_text_match(captures: DataFrame, indicators: DataFrame | list[str], only: list[str] | None = None) -> DataFrame:
-    """Distinct (indicator, source, line) triples of captured lines that contain an indicator."""
+    """Distinct (host, indicator, source, line) rows of captured lines that contain an indicator."""
     lines = captures.filter(F.col("capture").isin(only)) if only is not None else captures
-    rows = lines.select(F.col("capture").alias("source"), "line")
-    return match_literals(rows, "line", indicators).select("indicator", "source", "line").distinct()
+    rows = lines.select("host", F.col("capture").alias("source"), "line")
+    return match_literals(rows, "line", indicators).select("host", "indicator", "source", "line").distinct()
 
 
 def ioc_executables(captures: DataFrame, indicators) -> DataFrame:
@@ -192,7 +195,12 @@ def ioc_shell_commands(captures: DataFrame, indicators) -> DataFrame:
 
 def ioc_script(scripts: DataFrame, indicators: DataFrame | list[str], verbs: list[str] = DOWNLOAD_VERBS,
                text: str = "ScriptBlockText") -> DataFrame:
-    """Script blocks that hold a listed domain or address and a download verb."""
+    """Script blocks that hold a domain or address of the custom list and a download verb.
+
+    ``indicators`` are rows with ``indicator``, ``kind`` and ``list``, or a Python list taken from the custom one.
+    """
+    if isinstance(indicators, DataFrame):
+        indicators = _kind(indicators.filter(F.col("list") == "custom"), "domain", "ip")
     low = F.lower(F.coalesce(text, F.lit("")))
     verb = reduce(lambda a, b: a | b, [F.contains(low, F.lit(v.lower())) for v in verbs])
     return match_literals(scripts.filter(verb), text, indicators)

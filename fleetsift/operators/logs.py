@@ -23,24 +23,50 @@ def days_before(df: DataFrame, column: str, as_of: str, days: int) -> Column:
     return _literal(df, column, datetime.fromisoformat(as_of) - timedelta(days=days))
 
 
-def line_time(line: Column) -> Column:
-    """The timestamp a log line starts with; NULL if it starts with none."""
-    return F.try_to_timestamp(
-        F.replace(F.substring(line, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
+_ISO = r"\A(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})(?:[.,]\d+)?(?:(Z)|([+-]\d{2}):?(\d{2}))?"
+_SYSLOG = r"\A([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}:\d{2}:\d{2})\b"
+
+
+def line_time(line: Column, year: int | None = None) -> Column:
+    """The time a log line starts with, to the second; NULL if it starts with none.
+
+    An offset counts if it is written; other times are in the session's time zone. Classic syslog times, which have no
+    year, are read in ``year``, and are NULL without one.
+    """
+    def part(pattern: str, group: int) -> Column:
+        return F.regexp_extract(line, pattern, group)
+
+    offset = F.when(part(_ISO, 4) != "", F.concat(part(_ISO, 4), F.lit(":"), part(_ISO, 5))).otherwise(part(_ISO, 3))
+    found = F.try_to_timestamp(F.concat(part(_ISO, 1), F.lit(" "), part(_ISO, 2), offset))
+    if year is None:
+        return found
+    classic = F.concat_ws(" ", F.lit(f"{year:04d}"), part(_SYSLOG, 1), F.lpad(part(_SYSLOG, 2), 2, "0"), part(_SYSLOG, 3))
+    return F.coalesce(found, F.try_to_timestamp(classic, F.lit("yyyy MMM dd HH:mm:ss")))
 
 
 def timeline_range(
-    lines: DataFrame, start: str, end: str, files: list[str] | None = LOG_FILES, lexicographic: bool = False
+    lines: DataFrame, start: str, end: str, files: list[str] | None = LOG_FILES, lexicographic: bool = False,
+    year: int | None = None,
 ) -> DataFrame:
     """Lines of the chosen log files from ``start`` to ``end``, both included.
 
-    ``lexicographic`` compares whole lines with the two bounds as text instead of reading their time.
+    ``lexicographic`` compares whole lines with the two bounds as text instead of reading their time. A line whose time
+    has no year is read in ``year``, or else in each year of the range. Lines without a time are left out;
+    ``untimed_lines`` counts them.
     """
     chosen = lines.filter(F.col("file").isin(files)) if files is not None else lines
     if lexicographic:
         return chosen.filter((F.col("line") >= start) & (F.col("line") <= end))
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    return chosen.filter(line_time(F.col("line")).between(first, last))
+    years = [year] if year is not None else range(datetime.fromisoformat(start).year, datetime.fromisoformat(end).year + 1)
+    return chosen.filter(reduce(lambda a, b: a | b, [
+        F.coalesce(line_time(F.col("line"), y).between(first, last), F.lit(False)) for y in years], F.lit(False)))
+
+
+def untimed_lines(lines: DataFrame) -> DataFrame:
+    """Per log file: all lines, and those whose time cannot be read. The year 2000 has every day of the calendar."""
+    untimed = line_time(F.col("line"), 2000).isNull()
+    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(untimed).alias("untimed"))
 
 
 def valid_date(value: Column) -> Column:
@@ -95,19 +121,23 @@ def user_list(users: DataFrame, excluded: list[str] = SYSTEM_ACCOUNTS) -> DataFr
 
 
 def user_activity(audit: DataFrame, users: DataFrame, today: str) -> DataFrame:
-    """Audit records of yesterday and today per account; an account without any keeps one empty row.
+    """Audit records of yesterday and today per host and account; an account without any keeps one empty row.
 
     Kept as a semi join plus the accounts nothing was found for, so a busy account is not gathered in one place.
     """
-    accounts = user_list(users).select("user").distinct()
-    recent = audit.filter(_two_days(audit, today)).select("user", "line")
-    active = lookup(recent, accounts, ["user"], "left_semi")
-    idle = accounts.join(recent.select("user").distinct(), "user", "left_anti")
-    return active.unionByName(idle.select("user", F.lit(None).cast("string").alias("line")))
+    account = ["host", "user"]
+    accounts = user_list(users).select(*account).distinct()
+    recent = audit.filter(_two_days(audit, today)).select(*account, "ts", "line")
+    active = lookup(recent, accounts, account, "left_semi")
+    idle = accounts.join(recent.select(*account).distinct(), account, "left_anti")
+    return active.unionByName(idle, allowMissingColumns=True)
 
 
-def log_difference(lines: DataFrame, today: str, keys: tuple[str, ...] = ("line",)) -> DataFrame:
-    """Lines of today that yesterday does not have; repeated lines are kept. Reads ``ts`` and the key columns."""
+def log_difference(lines: DataFrame, today: str, keys: tuple[str, ...] = ("host", "line")) -> DataFrame:
+    """Lines of today that yesterday's log of the same host does not have; repeated lines are kept.
+
+    Reads ``ts`` and the key columns. A line with a NULL key is equal to no other, so it is always kept.
+    """
     day = datetime.fromisoformat(today)
     now, before = _literal(lines, "ts", day), _literal(lines, "ts", day - timedelta(days=1))
     after = _literal(lines, "ts", day + timedelta(days=1))

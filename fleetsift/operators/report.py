@@ -31,7 +31,7 @@ EVENT_CATEGORIES = {
     "Object Access Events": [4656, 4663],
     "Process Execution Events": [4688],
 }
-# The two categories whose ids belong to terminal-services logs rather than the security log.
+# The two categories whose ids belong to terminal-services logs; those of all others belong to the security log.
 CATEGORY_LOGS = {
     "RDP Auths": "Microsoft-Windows-TerminalServices-RemoteConnectionManager/Operational",
     "Outgoing RDP": "Microsoft-Windows-TerminalServices-RDPClient/Operational",
@@ -92,13 +92,13 @@ def event_id_counts(events: DataFrame) -> DataFrame:
     return counts.select(F.concat(F.lit("EID "), F.col("EventId").cast("string")).alias("label"), "n")
 
 
-def event_categories(event_log: DataFrame, per_log: bool = False) -> DataFrame:
+def event_categories(event_log: DataFrame, per_log: bool = True) -> DataFrame:
     """(label, n) of the event categories that occur; an id may count for several categories.
 
-    ``per_log`` also ties the two terminal-services categories to their own logs.
+    An id counts only in the log of its category; without ``per_log``, for a table of one log under another name, in any.
     """
     rows = [
-        (label, eid, CATEGORY_LOGS.get(label) if per_log else None)
+        (label, eid, CATEGORY_LOGS.get(label, "Security") if per_log else None)
         for label, ids in EVENT_CATEGORIES.items() for eid in ids
     ]
     known = event_log.sparkSession.createDataFrame(rows, "label string, event_id int, _log string")
@@ -192,11 +192,17 @@ SPLITS = 16
 
 
 def _before(keys: list[tuple[str, bool]], bound: tuple) -> Column:
-    """Whether a row sorts strictly before a bound, column by column."""
+    """Whether a row sorts strictly before a bound, column by column. NULLs come first upwards and last downwards."""
     out = F.lit(False)
     for (name, descending), value in reversed(list(zip(keys, bound))):
-        col, edge = F.col(name), F.lit(value)
-        out = ((col > edge) if descending else (col < edge)) | ((col == edge) & out)
+        col = F.col(name)
+        if value is None:
+            ahead, same = (col.isNotNull() if descending else F.lit(False)), col.isNull()
+        else:
+            edge = F.lit(value)
+            ahead = F.coalesce(col > edge, F.lit(False)) if descending else F.coalesce(col < edge, F.lit(True))
+            same = col.eqNullSafe(edge)
+        out = ahead | (same & out)
     return out
 
 
@@ -234,7 +240,7 @@ def page(table: DataFrame, order: list[str], number: int, size: int = 25, deep:
     """One page of a table in a total order (``-name`` sorts downwards); a page past the end is the last page.
 
     A page near either end is a top-k from that end. One further in is first narrowed to the range of sort keys that
-    holds it, so the rows before it are counted but never sorted or moved. Sort columns should not be NULL.
+    holds it, so the rows before it are counted but never sorted or moved. NULLs come first upwards and last downwards.
     """
     total = table.count()
     pages = max(1, -(-total // size))

@@ -92,22 +92,25 @@ def ioc_network(spark, d):
     return ioc.ioc_network(events, t.iocs(spark, d)).select("record_id", "DestinationIp", "indicator")
 
 
-_ADDRESS = "regexp_extract(text, '([0-9]{1,3}\\.){3}[0-9]{1,3}', 0)"
+_ADDRESS = "unnest(regexp_extract_all(text, '([0-9]{1,3}\\.){3}[0-9]{1,3}'))"
 
 
 @query("ioc_script", f"SELECT DISTINCT doc_id, indicator FROM documents JOIN (SELECT DISTINCT {_ADDRESS} AS indicator FROM documents) "
        "ON indicator <> '' AND contains(text, indicator) WHERE contains(lower(text), ' is ') OR contains(lower(text), ' de ')")
 def ioc_script(spark, d):
     docs = t.table(spark, d, "documents")
-    address = F.regexp_extract("text", r"([0-9]{1,3}\.){3}[0-9]{1,3}", 0)
-    listed = docs.select(address.alias("indicator")).filter("indicator <> ''").distinct()
+    address = F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]{1,3}\.){3}[0-9]{1,3}"), F.lit(0)))
+    listed = docs.select(address.alias("indicator"), F.lit("ip").alias("kind"), F.lit("custom").alias("list"))
+    # A feed domain and a URL that texts hold and that must not count.
+    others = spark.createDataFrame([("the", "domain", "feed"), ("is", "url", "custom")], listed.schema)
+    listed = listed.unionByName(others)
     return ioc.ioc_script(docs.select("doc_id", "text"), listed, [" IS ", " de "], "text").select("doc_id", "indicator")
 
 
 @query("ioc_inject", "SELECT doc_id AS \"RecordId\" FROM documents WHERE contains(lower(text), 'the') AND EXISTS (SELECT 1 FROM "
-       "(SELECT DISTINCT string_split(p_name, ' ')[2] AS indicator FROM part) WHERE contains(lower(text), indicator))")
+       "(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS indicator FROM part) WHERE contains(lower(text), indicator))")
 def ioc_inject(spark, d):
-    listed = t.table(spark, d, "part").select(F.split("p_name", " ")[1].alias("indicator"))
+    listed = t.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("indicator"))
     values = ioc.driver_list(listed)
 
     def contains(*v):
@@ -121,7 +124,7 @@ def ioc_inject(spark, d):
     return detect(t.ev_script(spark, d), plan, AS_OF, 11_000).select("RecordId")
 
 
-_TRIPLES = "SELECT DISTINCT indicator, capture AS source, line FROM captures JOIN {words} ON contains(lower(line), lower(indicator))"
+_TRIPLES = "SELECT DISTINCT host, indicator, capture AS source, line FROM captures JOIN {words} ON contains(lower(line), lower(indicator))"
 
 
 @query("ioc_text_match", _TRIPLES.format(words=_WORDS), "captures")
@@ -141,12 +144,11 @@ def ioc_shell_commands(spark, d):
     return ioc.ioc_shell_commands(t.captures(spark, d), WORDS)
 
 
-@query("user_config", _TRIPLES.format(words="(SELECT lower(s) AS indicator FROM (SELECT unnest([string_split(p_name, ' ')[1], "
-       "string_split(p_name, ' ')[2]]) AS s FROM part))"), "captures")
+@query("user_config", _TRIPLES.format(words="(SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS indicator FROM part)"), "captures")
 def user_config(spark, d):
     names = F.split("p_name", " ")
     config = t.table(spark, d, "part").select(F.parse_json(F.to_json(F.struct(
-        F.array(names[0], names[1], F.lit("")).alias("suspicious_SH_commands")))).alias("config"))
+        F.array_append(names, "").alias("suspicious_SH_commands")))).alias("config"))
     listed = config_values(config, "suspicious_SH_commands").select(F.lower("value").alias("indicator")).distinct()
     return ioc.ioc_text_match(t.captures(spark, d), listed)
 

@@ -75,18 +75,19 @@ def login_audit(spark, d):
 
 
 @query("user_activity", """
-SELECT a."user", line FROM (SELECT DISTINCT "user" FROM accounts WHERE "user" NOT IN ('Guest', 'Shared')) a
-LEFT JOIN (SELECT "user", line FROM audit WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-16') r ON a."user" = r."user"
+SELECT a.host, a."user", line FROM (SELECT DISTINCT host, "user" FROM accounts WHERE "user" NOT IN ('Guest', 'Shared')) a
+LEFT JOIN (SELECT host, "user", line FROM audit WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-16') r
+ON a."user" = r."user" AND a.host = r.host
 """, "accounts audit")
 def user_activity(spark, d):
-    return logs.user_activity(t.audit(spark, d), t.accounts(spark, d), "2024-01-15")
+    return logs.user_activity(t.audit(spark, d), t.accounts(spark, d), "2024-01-15").select("host", "user", "line")
 
 
 @query("log_difference", """
-SELECT event_id, line FROM audit a WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16' AND NOT EXISTS (
-  SELECT 1 FROM audit b WHERE b.ts >= TIMESTAMP '2024-01-14' AND b.ts < TIMESTAMP '2024-01-15' AND b.line = a.line)""", "audit")
+SELECT event_id, host, line FROM audit a WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16' AND NOT EXISTS (
+  SELECT 1 FROM audit b WHERE b.ts >= TIMESTAMP '2024-01-14' AND b.ts < TIMESTAMP '2024-01-15' AND b.line = a.line AND b.host = a.host)""", "audit")
 def log_difference(spark, d):
-    return logs.log_difference(t.audit(spark, d), "2024-01-15").select("event_id", "line")
+    return logs.log_difference(t.audit(spark, d), "2024-01-15").select("event_id", "host", "line")
 
 
 @query("shell_history_report", "SELECT c_name AS \"user\", 'bash' AS shell, c_mktsegment AS command FROM customer UNION ALL "

@@ -62,11 +62,14 @@ def rules_by_source(spark, d):
     return rs.rules_by_source(t.rule_meta(spark, d))
 
 
+_EV = "ev_security ev_script ev_process ev_network"
+_ALL = " UNION ALL ".join(f"SELECT {{0}} FROM {view}" for view in _EV.split())
+
+
 @query("missing_log_skip", "SELECT id, log_name, category FROM catalog WHERE log_name NOT IN "
-       "(SELECT concat('log_', c_nationkey) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9500)", "catalog")
+       f"(SELECT concat('log_', event_id % 25) FROM ({_ALL.format('event_id')}))", f"catalog {_EV}")
 def missing_log_skip(spark, d):
-    logs = t.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' and c_acctbal > 9500").select(
-        F.concat(F.lit("log_"), F.col("c_nationkey").cast("string")).alias("log_name"))
+    logs = t.event_log(spark, d).select(F.concat(F.lit("log_"), (F.col("event_id") % 25).cast("string")).alias("log_name"))
     return rs.missing_logs(t.catalog(spark, d), logs).select("id", "log_name", "category")
 
 
@@ -77,11 +80,10 @@ def event_filter(spark, d):
 
 
 @query("newest_n_per_source", "SELECT host, log_name, record_id FROM (SELECT *, row_number() OVER (PARTITION BY host, log_name "
-       "ORDER BY time_created DESC, record_id DESC) AS rn FROM (SELECT host, log_name, record_id, time_created FROM ev_security "
-       "UNION ALL SELECT host, log_name, record_id, time_created FROM ev_script)) WHERE rn <= 20", "ev_security ev_script")
+       f"ORDER BY time_created DESC, record_id DESC) AS rn FROM ({_ALL.format('host, log_name, record_id, time_created')})) WHERE rn <= 20",
+       _EV)
 def newest_n_per_source(spark, d):
-    events = t.ev_security(spark, d).unionByName(t.ev_script(spark, d))
-    return det.newest_n_per_source(events, 20, ("host", "log_name")).select("host", "log_name", "record_id")
+    return det.newest_n_per_source(t.event_log(spark, d), 20, ("host", "log_name")).select("host", "log_name", "record_id")
 
 
 @query("scan_stats", """
@@ -153,7 +155,6 @@ def _finding_sql(branches) -> str:
     return " UNION ALL ".join(parts)
 
 
-_EV = "ev_security ev_script ev_process ev_network"
 _BEST = ("SELECT * EXCLUDE (rn, ties) FROM (SELECT *, row_number() OVER (PARTITION BY host, SourceId, RuleFile, RecordId "
          "ORDER BY TimeCreated DESC, ties DESC) AS rn FROM ({sql})) WHERE rn = 1")
 
@@ -217,10 +218,10 @@ def rule_errors(spark, d):
     return det.rule_errors(spark, det.plan_scan(spark, rules, sources)).select("SourceId", "RuleFile", "RuleTitle")
 
 
-@query("user_rules", "SELECT w AS RuleTitle, count(*) AS findings FROM (SELECT DISTINCT string_split(p_name, ' ')[2] AS w FROM part) "
+@query("user_rules", "SELECT w AS RuleTitle, count(*) AS findings FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) "
        "JOIN documents ON contains(lower(text), w) GROUP BY w")
 def user_rules(spark, d):
-    words = t.table(spark, d, "part").select(F.split("p_name", " ")[1].alias("title")).distinct()
+    words = t.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("title")).distinct()
     item = F.struct(F.lit("field").alias("type"), F.lit("ScriptBlockText").alias("field"), F.lit("contains").alias("operator"),
                     F.array("title").alias("values"), F.lit(True).alias("ignore_case"))
     docs = words.select(

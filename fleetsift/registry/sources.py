@@ -197,7 +197,7 @@ def sink_csv(spark, d):
     return spark.read.option("header", True).csv(path)
 
 
-@query("sink_hits_text", f"SELECT concat(indicator, '|', source, '|', line) AS value FROM ({_TRIPLES.format(words=_WORDS)}) "
+@query("sink_hits_text", f"SELECT DISTINCT concat(indicator, '|', source, '|', line) AS value FROM ({_TRIPLES.format(words=_WORDS)}) "
        "UNION ALL SELECT 'No matches found'", "captures")
 def sink_hits_text(spark, d):
     lines = t.captures(spark, d).select(F.col("capture").alias("source"), "line")

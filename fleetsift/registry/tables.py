@@ -158,7 +158,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return table(spark, sf_dir, "events").select(
-        "event_id", "ts", F.when(c("user_id") % 20 == 0, "Guest").otherwise(_text("user", c("user_id"))).alias("user"),
+        "event_id", "ts", _text("host-", c("user_id") % 10).alias("host"),
+        F.when(c("user_id") % 20 == 0, "Guest").otherwise(_text("user", c("user_id"))).alias("user"),
         F.when(c("event_type") == "view", "lo").otherwise("fw").alias("class"),
         _text(c("event_type"), " ", c("props")).alias("line"))
 

@@ -77,7 +77,7 @@ SELECT event_id, {_list(LOG_NAMES)}[1 + user_id % 5] AS file, ts,
   concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' ', event_type, ' ', props) AS line
 FROM events""",
     "audit": """
-SELECT event_id, ts, CASE WHEN user_id % 20 = 0 THEN 'Guest' ELSE concat('user', user_id) END AS "user",
+SELECT event_id, ts, concat('host-', user_id % 10) AS host, CASE WHEN user_id % 20 = 0 THEN 'Guest' ELSE concat('user', user_id) END AS "user",
   CASE event_type WHEN 'view' THEN 'lo' ELSE 'fw' END AS class, concat(event_type, ' ', props) AS line
 FROM events""",
     "accounts": """

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 _SHAPE = (
     "System struct<Provider:struct<_Name:string>,EventID:string,Channel:string,EventRecordID:string,Computer:string,"
-    "TimeCreated:struct<_SystemTime:string>>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>"
+    "TimeCreated:struct<_SystemTime:string>>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>, "
+    "RenderingInfo struct<Message:string>"
 )
 
 
@@ -21,8 +22,8 @@ def last_entry_wins(entries: Column) -> Column:
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 
-def parse_event_xml(records: DataFrame, xml: str = "raw_xml") -> DataFrame:
-    """Add the system values and the payload map of every XML record. Data nodes without a name are left out."""
+def _parsed(records: DataFrame, xml: str) -> DataFrame:
+    """Add the system values, the payload map and the parsed record itself as ``_doc``."""
     doc = F.from_xml(F.col(xml), _SHAPE, {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"})
     parsed = records.withColumn("_doc", doc)
     data = F.filter(F.col("_doc.EventData.Data"), lambda d: F.coalesce(d["_Name"], F.lit("")) != "")
@@ -34,21 +35,29 @@ def parse_event_xml(records: DataFrame, xml: str = "raw_xml") -> DataFrame:
         "event_id": F.trim(system["EventID"]).try_cast("int"),
         "log_name": F.trim(system["Channel"]),
         "event_data": last_entry_wins(pairs),
-    }).drop("_doc")
+    })
+
+
+def parse_event_xml(records: DataFrame, xml: str = "raw_xml") -> DataFrame:
+    """Add the system values and the payload map of every XML record. Data nodes without a name are left out."""
+    return _parsed(records, xml).drop("_doc")
 
 
 def scan_event_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Exported XML files as ``event_log`` rows. Files are split at record ends, so one file feeds many tasks."""
+    """Exported XML files as ``event_log`` rows. Files are split at record ends, so one file feeds many tasks.
+
+    ``message`` is the rendered one, NULL where the export holds none.
+    """
     cut = spark.read.option("lineSep", "</Event>").text(path)
     start = F.expr("regexp_instr(value, '<Event[ >]')")
     raw = cut.withColumn("_at", start).filter(F.col("_at") > 0).select(
         F.concat(F.expr("substring(value, _at)"), F.lit("</Event>")).alias("raw_xml"))
-    system = F.from_xml(F.col("raw_xml"), _SHAPE)["System"]
-    return parse_event_xml(raw.withColumn("_sys", system)).select(
-        F.col("_sys.Computer").alias("host"), "log_name", "provider", "event_id",
-        F.trim(F.col("_sys.EventRecordID")).try_cast("long").alias("record_id"),
-        F.col("_sys.TimeCreated._SystemTime").try_cast("timestamp").alias("time_created"),
-        "event_data", F.lit(None).cast("string").alias("message"), "raw_xml",
+    system = F.col("_doc.System")
+    return _parsed(raw, "raw_xml").select(
+        F.trim(system["Computer"]).alias("host"), "log_name", "provider", "event_id",
+        F.trim(system["EventRecordID"]).try_cast("long").alias("record_id"),
+        F.trim(system["TimeCreated"]["_SystemTime"]).try_cast("timestamp").alias("time_created"),
+        "event_data", F.col("_doc.RenderingInfo.Message").alias("message"), "raw_xml",
     )
 
 

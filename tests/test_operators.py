@@ -68,13 +68,17 @@ def test_literal_matching_agrees_with_brute_force(spark, monkeypatch, path):
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))).upper() for _ in range(150)] + ["", None, "http://evil.example/x", "aaaaaaaaaa"]
     needles = {"".join(rng.choices(alphabet, k=rng.randint(1, 9))) for _ in range(120)} | {"http://evil.example/x", "http://evil.example/y", "AAAAA", "aaaaa", ""}
     if path == "shipped":
-        monkeypatch.setattr(literals, "ahocorasick", None)
+        monkeypatch.setattr(literals, "INDEX_FROM", 10**6)
     frame = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
     listed = spark.createDataFrame([(n,) for n in sorted(needles)], "indicator string")
     got = ioc.match_literals(frame, "s", listed, max_shipped=10 if path == "grams" else 1000)
     expected = {(i, n) for i, s in enumerate(texts) for n in needles if n and n.lower() in (s or "").lower()}
     rows = [(r.i, r.indicator) for r in got.collect()]
     assert set(rows) == expected and len(rows) == len(expected)
+    if path == "grams":
+        monkeypatch.setattr(literals, "MAX_LITERALS", 10)
+        own = ioc.match_literals(frame, "s", sorted(needles))
+        assert sorted(rows) == sorted((r.i, r.indicator) for r in own.collect())
     twice = ioc.match_literals(frame.union(frame), "s", listed, max_shipped=10 if path == "grams" else 1000)
     assert twice.count() == 2 * len(expected)
 
@@ -103,10 +107,55 @@ def test_ransom_extensions_keep_multiplicity(spark):
 
 
 def test_log_difference_keeps_repeated_lines(spark):
-    rows = [("2024-01-01 10:00:00", "a"), ("2024-01-02 10:00:00", "a"), ("2024-01-02 11:00:00", "b"), ("2024-01-02 12:00:00", "b"),
-            ("2024-01-03 00:00:00", "c")]
-    frame = spark.createDataFrame(rows, "t string, line string").withColumn("ts", F.to_timestamp("t"))
-    assert [r.line for r in logs.log_difference(frame, "2024-01-02").collect()] == ["b", "b"]
+    rows = [("2024-01-01 10:00:00", "h", "a"), ("2024-01-02 10:00:00", "h", "a"), ("2024-01-02 11:00:00", "h", "b"),
+            ("2024-01-02 12:00:00", "h", "b"), ("2024-01-02 12:00:00", "i", "a"), ("2024-01-03 00:00:00", "h", "c")]
+    frame = spark.createDataFrame(rows, "t string, host string, line string").withColumn("ts", F.to_timestamp("t"))
+    got = logs.log_difference(frame, "2024-01-02").collect()
+    assert sorted((r.host, r.line) for r in got) == [("h", "b"), ("h", "b"), ("i", "a")]
+
+
+def test_user_activity_stays_on_its_host(spark):
+    audit = spark.createDataFrame([("h", "u", "2024-01-02 10:00:00", "x")], "host string, user string, t string, line string")
+    users = spark.createDataFrame([("h", "u"), ("i", "u")], "host string, user string")
+    got = logs.user_activity(audit.withColumn("ts", F.to_timestamp("t")), users, "2024-01-02")
+    assert sorted((r.host, r.line or "") for r in got.collect()) == [("h", "x"), ("i", "")]
+
+
+def test_line_times(spark):
+    cases = {"2024-01-05 06:00:00 a": "2024-01-05 06:00:00", "2024-01-05T06:00:00.25+05:00 a": "2024-01-05 01:00:00",
+             "2024-01-05T06:00:00+0530": "2024-01-05 00:30:00", "2024-01-05T06:00:00Z x": "2024-01-05 06:00:00",
+             "Jan  5 06:00:00 host sshd[1]: x": "2024-01-05 06:00:00", "Feb 29 23:59:59 y": "2024-02-29 23:59:59",
+             "Foo  5 06:00:00 z": None, "2024-13-05 06:00:00": None, "no time": None, "": None}
+    frame = spark.createDataFrame([(x,) for x in cases], "line string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        rows = frame.select("line", logs.line_time(F.col("line"), 2024).cast("string").alias("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r.line: r.t for r in rows} == cases
+    files = frame.withColumn("file", F.lit("syslog"))
+    kept = logs.timeline_range(files.filter("line like 'Jan%' or line like 'Feb%'"), "2023-12-31 00:00:00", "2024-01-31 00:00:00").collect()
+    assert [r.line for r in kept] == ["Jan  5 06:00:00 host sshd[1]: x"]
+    assert logs.untimed_lines(files).first().asDict() == {"file": "syslog", "lines": 10, "untimed": 4}
+
+
+def test_script_indicators_are_custom_domains_and_addresses(spark):
+    scripts = spark.createDataFrame([(1, "curl http://evil.example/x 10.1.2.3 feed.example")], "i int, ScriptBlockText string")
+    listed = spark.createDataFrame([("evil.example", "domain", "custom"), ("feed.example", "domain", "feed"), ("10.1.2.3", "ip", "custom"),
+                                    ("http://evil.example/x", "url", "custom")], "indicator string, kind string, list string")
+    assert sorted(r.indicator for r in ioc.ioc_script(scripts, listed).collect()) == ["10.1.2.3", "evil.example"]
+
+
+@pytest.mark.parametrize("number", [1, 3, 9, 12, 17, 25, 40])
+def test_deep_pages_with_missing_and_odd_sort_keys(spark, number):
+    """Pages found by narrowing are those of a plain sort, with NULL, NaN and repeated keys."""
+    rng = random.Random(number)
+    rows = [(rng.choice([None, 1.5, float("nan"), 2.5, -1.0]), rng.choice([None, "a", "b"]), i) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "a double, b string, i int").repartition(4)
+    for order in (["a", "-b", "i"], ["-a", "b", "-i"]):
+        deep, plain = (report.page(frame, order, number, 25, d).collect() for d in (20, 10**9))
+        assert [r.i for r in deep] == [r.i for r in plain] and len(deep) == 25
 
 
 @pytest.mark.parametrize("number, size", [(1, 25), (4, 25), (18, 25), (20, 25), (999, 25), (0, 25), (3, 100), (9, 33)])
@@ -136,8 +185,8 @@ def test_reports_on_nothing(spark):
 def test_event_categories_per_log(spark):
     rdp = report.CATEGORY_LOGS["Outgoing RDP"]
     log = spark.createDataFrame([("Security", 1102), (rdp, 1102), ("Security", 4624), ("Security", 1)], "log_name string, event_id int")
-    assert _rows(report.event_categories(log)) == [("Logon Events", 1), ("Outgoing RDP", 2), ("RDP Logins", 1)]
-    assert _rows(report.event_categories(log, per_log=True)) == [("Logon Events", 1), ("Outgoing RDP", 1), ("RDP Logins", 1)]
+    assert _rows(report.event_categories(log, per_log=False)) == [("Logon Events", 1), ("Outgoing RDP", 2), ("RDP Logins", 1)]
+    assert _rows(report.event_categories(log)) == [("Logon Events", 1), ("Outgoing RDP", 1), ("RDP Logins", 1)]
 
 
 def test_network_cards_with_listening_table(spark):

@@ -54,10 +54,14 @@ def test_event_xml(spark, tmp_path):
     event = ('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="P" Guid="{1}"/>'
              '<EventID Qualifiers="0">4688</EventID><EventRecordID>7</EventRecordID><Channel>Security</Channel><Computer>h</Computer>'
              '<TimeCreated SystemTime="2024-01-01T10:00:00.5Z"/></System><EventData><Data Name="CommandLine">  a &lt;b&gt; </Data>'
-             '<Data>loose</Data><Data Name="Empty"/><Data Name="COMMANDLINE">last</Data></EventData></Event>')
+             '<Data>loose</Data><Data Name="Empty"/><Data Name="COMMANDLINE">last</Data></EventData>'
+             '<RenderingInfo Culture="en-US"><Message>A process was made.</Message></RenderingInfo></Event>')
     bare = "<Event><System><EventID>1</EventID></System></Event>"
     (tmp_path / "e.xml").write_text(f"<?xml version='1.0'?>\n<Events>\n{event}\n{bare}</Events>\n")
-    rows = {r.event_id: r for r in event_xml.scan_event_xml(spark, str(tmp_path / "e.xml")).collect()}
+    scanned = event_xml.scan_event_xml(spark, str(tmp_path / "e.xml"))
+    rows = {r.event_id: r for r in scanned.collect()}
+    assert rows[4688].message == "A process was made." and rows[1].message is None
+    assert scanned._jdf.queryExecution().optimizedPlan().toString().count("from_xml") <= 1
     assert set(rows) == {4688, 1}
     assert rows[4688].event_data == {"commandline": "last", "empty": ""} and rows[1].event_data == {}
     assert (rows[4688].host, rows[4688].log_name, rows[4688].provider, rows[4688].record_id) == ("h", "Security", "P", 7)
