@@ -118,8 +118,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     current = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
                           .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _signature(current)
-    while True:
+    while not _only_stars(current):
         both = current.union(current.select("v", "u"))
         least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -127,16 +126,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         current = materialise(small.distinct(), "edges")
-        now = _signature(current)
-        if now == before:
-            break
-        before = now
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge, and to a node that is no larger end itself: then all edges lead to the smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.filter("ups > 1 OR ups = 1 AND least = 0").isEmpty()
 
 
 # -- numbering ------------------------------------------------------------------------------------------------------------------------------
