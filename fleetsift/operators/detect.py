@@ -289,9 +289,13 @@ FINDING_KEY = ["host", "SourceId", "RuleFile", "RecordId"]
 
 
 def dedup_findings(findings: DataFrame) -> DataFrame:
-    """One finding per host, source, rule file and record: the newest, with ties broken by the other columns."""
+    """One finding per host, source, rule file and record: the newest, with ties broken by the other columns.
+
+    Findings that carry ``time_created`` (``detect(..., extra=["time_created"])``) are compared by it, others by the second.
+    """
     rest = [c for c in findings.columns if c not in FINDING_KEY]
-    order = ["TimeCreated", *[c for c in rest if c != "TimeCreated"]]
+    times = [c for c in ("time_created", "TimeCreated") if c in rest]
+    order = [*times, *[c for c in rest if c not in times]]
     best = findings.groupBy(*FINDING_KEY).agg(F.max(F.struct(*order)).alias("_best"))
     return best.select(*[F.col(c) if c in FINDING_KEY else F.col(f"_best.{c}").alias(c) for c in findings.columns])
 
@@ -356,13 +360,16 @@ def dedup_hits(events: DataFrame, shared_files: bool = True) -> DataFrame:
 
 def detect(
     event_log: DataFrame, plan: ScanPlan, as_of: str | datetime, days_back: int = 30, max_events_per_source: int = 0,
-    dedup: bool = True,
+    dedup: bool = True, extra: list[str] = (),
 ) -> DataFrame:
-    """Findings of a whole scan, one per host, source, rule file and record unless ``dedup`` is off."""
+    """Findings of a whole scan, one per host, source, rule file and record unless ``dedup`` is off.
+
+    ``extra`` names event columns that the findings carry besides their own.
+    """
     if dedup:
         events = hit_events(event_log, plan, as_of, days_back, max_events_per_source)
-        return project_finding(dedup_hits(events, plan.shared_files), plan)
-    return project_finding(detect_hits(event_log, plan, as_of, days_back, max_events_per_source), plan)
+        return project_finding(dedup_hits(events, plan.shared_files), plan, extra)
+    return project_finding(detect_hits(event_log, plan, as_of, days_back, max_events_per_source), plan, extra)
 
 
 def report_columns(findings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetsift.functions.literals import MAX_LITERAL_BYTES, MAX_LITERALS, can_ship, literal_ids
 from fleetsift.operators.joins import is_small, lookup, salted_join
 from fleetsift.operators.logs import days_before
+from fleetsift.schemas import FINDING_COLUMNS
 
 BROWSERS = ["chrome.exe", "msedge.exe", "firefox.exe", "iexplore.exe", "opera.exe", "brave.exe"]
 # Download verbs of the documented script rule.
@@ -51,6 +52,20 @@ def hash_match(hashed: DataFrame, bad: DataFrame) -> DataFrame:
     return lookup(hashed.withColumn("hash", F.lower("hash")), wanted, ["hash"], "left_semi")
 
 
+def hit_findings(hits: DataFrame, title: str, level: str, layer: str, matched: str, **columns: Column) -> DataFrame:
+    """Hits of a hash or indicator layer as findings: the columns of ``detect``, so that the report reads all three sets alike.
+
+    ``matched`` is the column with the hash or indicator and ends the title; ``layer`` is the source. ``columns`` gives further finding
+    columns from those of the hits; text columns left out are N/A, host and the numbers null.
+    """
+    given = {"SourceId": F.lit(layer), "RuleTitle": F.concat(F.lit(f"{title}: "), F.col(matched)), "RuleLevel": F.lit(level),
+             "RuleTags": F.lit(""), **columns}
+    blank = {"host": "string", "RecordId": "bigint", "EventId": "int"}
+    names = ["host", "SourceId", "RecordId", *FINDING_COLUMNS]
+    missing = {c: F.lit(None).cast(blank[c]) if c in blank else F.lit("N/A") for c in names}
+    return hits.select(*[({**missing, **given})[c].alias(c) for c in names])
+
+
 # --- addresses in history and connections -----------------------------------------------------------------------------
 
 def url_host(url: Column) -> Column:
@@ -142,14 +157,27 @@ def _gram_join(rows: DataFrame, text: str, indicators: DataFrame) -> DataFrame:
     keyed = folded.withColumn("_low", F.lower(F.coalesce(text, F.lit("")))).withColumn(
         "_row", F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in rows.columns])))
     pieces = [keyed.select("_row", F.explode(grams(F.col("_low"), size)).alias("_gram")) for size in sizes]
+    filed_as = anchors.select("indicator", "needle", "_gram")
     meetings = salted_join(
-        reduce(DataFrame.unionByName, pieces), anchors.select("indicator", "needle", "_gram"), ["_gram"], "inner"
+        _maybe_filed(reduce(DataFrame.unionByName, pieces), filed_as), filed_as, ["_gram"], "inner"
     ).select("_row", "indicator", "needle").distinct()
     met = keyed.join(meetings, "_row").filter(F.contains("_low", F.col("needle")))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")
     return met.select(*rows.columns, "indicator", copies).drop("_copy")
 
 
+def _maybe_filed(pieces: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The grams that share a bit with an anchor's, the others dropped before any row moves; all true ones stay.
+
+    The bits are at most ``2**16`` words of 64, so that they may be broadcast whatever the length of the list.
+    """
+    slot = F.pmod(F.xxhash64("_gram"), F.lit(1 << 22))
+    word, mask = F.floor(slot / 64).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    bits = anchors.select(word, mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    tested = pieces.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(bits), "_word")
+    return tested.filter(F.col("_bits").bitwiseAND(F.col("_mask")) != 0).select(*pieces.columns)
+
+
 def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str], max_shipped: int = MAX_LITERALS) -> DataFrame:
     """One row per (row, indicator contained in its text), ignoring case.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # A lookup side is broadcast only if a count shows it at or below both limits.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 32 << 20
+# Slices of a group in ``newest_n``, and the least of a hot key in a join.
 SALTS = 16
 # A key is hot if one row in a thousand shows it a thousand times: about a million rows.
 SAMPLE_RATE = 0.001
@@ -27,31 +28,33 @@ def is_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROA
 
 
 def hot_keys(df: DataFrame, keys: list[str], rate: float = SAMPLE_RATE, seen: int = HOT_IN_SAMPLE) -> list:
-    """Keys that a sample shows to hold very many rows, most frequent first. Only decides where rows go."""
+    """Keys that a sample shows to hold very many rows, most frequent first, with their count there (``_n``). Only decides where rows go."""
     counts = df.select(*keys).sample(rate, seed=11).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") >= seen).orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).select(*keys).collect()
+    return counts.filter(F.col("_n") >= seen).orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect()
 
 
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str, salts: int = SALTS, rate: float = SAMPLE_RATE,
     seen: int = HOT_IN_SAMPLE,
 ) -> DataFrame:
-    """Equi-join in which the left rows of a hot key are spread over ``salts`` partitions.
+    """Equi-join in which the left rows of a hot key are spread over ``salts`` partitions, or more if its count asks for it.
 
-    Only the right rows of hot keys are repeated. The salt is a hash of the whole left row, so it is the same when a
-    lost task runs again.
+    A partition then holds about as many rows as make a key hot, or fewer. Only the right rows of hot keys are repeated. The salt is a
+    hash of the whole left row, so it is the same when a lost task runs again.
     """
     hot = hot_keys(left, keys, rate, seen)
     if not hot:
         return left.join(right, keys, how)
     # At most MAX_HOT_KEYS rows.
-    marks = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(left)]), F.lit(salts)).cast("int")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    schema = left.select(*keys).schema.add("_n", "long")
+    marks = F.broadcast(left.sparkSession.createDataFrame(hot, schema).select(
+        *keys, F.greatest(F.lit(salts), F.ceil(F.col("_n") / seen)).cast("int").alias("_salts")))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(left)]), F.coalesce("_salts", F.lit(salts))).cast("int")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0)))
     # Rows without a key match nothing, so they may go anywhere.
-    scattered = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys], F.coalesce("_hot", F.lit(False)))
-    salted_left = left.join(marks, keys, "left").withColumn("_salt", F.when(scattered, spread).otherwise(0)).drop("_hot")
-    salted_right = right.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    scattered = reduce(lambda a, b: a | b, [F.col(f"`{k}`").isNull() for k in keys], F.col("_salts").isNotNull())
+    salted_left = left.join(marks, keys, "left").withColumn("_salt", F.when(scattered, spread).otherwise(0)).drop("_salts")
+    salted_right = right.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("matching", "rules", "indicators", "logs", "history", "snapshots", "report", "sources")
+MODULES = ("matching", "rules", "indicators", "logs", "history", "snapshots", "report", "sources", "hits")
 
 
 def load() -> tuple[dict, dict]:

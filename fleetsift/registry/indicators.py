@@ -154,11 +154,10 @@ def user_config(spark, d):
 
 
 @query("user_ioc", "SELECT page_id, i.indicator FROM history JOIN (SELECT indicator FROM iocs WHERE kind = 'domain' AND list = 'custom' "
-       "UNION SELECT DISTINCT regexp_extract(url, '([a-z0-9-]+\\.example\\.org)', 1) FROM pages WHERE contains(url, '.html')) i "
+       "UNION SELECT DISTINCT regexp_extract(url, '([a-z0-9-]+\\.example\\.org)', 1) FROM pages) i "
        "ON (host_name = i.indicator OR ends_with(host_name, concat('.', i.indicator))) WHERE i.indicator <> ''", "history iocs")
 def user_ioc(spark, d):
-    pages = t.table(spark, d, "pages").filter(F.contains("url", F.lit(".html")))
-    own = pages.select(F.upper(F.regexp_extract("url", r"([a-z0-9-]+\.example\.org)", 1)).alias("value")).filter("value <> ''")
+    own = t.table(spark, d, "pages").select(F.upper(F.regexp_extract("url", r"([a-z0-9-]+\.example\.org)", 1)).alias("value")).filter("value <> ''")
     folder = scratch_dir(spark, "iocs")
     prefixed = F.explode(F.array(F.concat(F.lit("  "), "value"), F.concat(F.lit("# no-"), "value"))).alias("line")
     own.select(prefixed).write.text(folder)
@@ -168,10 +167,10 @@ def user_ioc(spark, d):
 
 
 @query("ransom_extensions", "SELECT host, path, extension FROM files JOIN (SELECT '.html' AS extension UNION ALL "
-       "SELECT DISTINCT concat('.', string_split(url, '.')[-1]) FROM pages WHERE starts_with(url, 'https://m.')) "
+       "SELECT DISTINCT concat('.', string_split(url, '.')[-1]) FROM pages) "
        "ON ends_with(string_split(path, '/')[-1], extension)", "files")
 def ransom_extensions(spark, d):
-    pages = t.table(spark, d, "pages").filter(F.startswith("url", F.lit("https://m.")))
+    pages = t.table(spark, d, "pages")
     listed = pages.select(F.concat(F.lit("."), F.element_at(F.split("url", r"\."), -1)).alias("extension")).distinct()
     always = pages.sparkSession.createDataFrame([(".html",)], "extension string")
     return ioc.ransom_extensions(t.files(spark, d), always.unionByName(listed)).select("host", "path", "extension")

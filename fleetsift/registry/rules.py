@@ -168,11 +168,10 @@ def detect(spark, d):
     return det.detect(t.event_log(spark, d), _plan(spark), **SCAN)
 
 
-@query("dedup_findings", _BEST.format(sql=_finding_sql([b for b in _BRANCHES if b[0] is _NET])).replace(
-    "ties DESC", "\"User\" DESC, Process DESC"), _EV)
+@query("dedup_findings", _BEST.format(sql=_finding_sql(_BRANCHES)).replace("ties DESC", "\"User\" DESC, CommandLine DESC, Process DESC"), _EV)
 def dedup_findings(spark, d):
-    plan = det.plan_scan(spark, rulepack(), include_ids=["SYSMON_network_connection"])
-    return det.dedup_findings(det.detect(t.ev_network(spark, d), plan, dedup=False, **SCAN))
+    found = det.detect(t.event_log(spark, d), _plan(spark), dedup=False, extra=["time_created"], **SCAN)
+    return det.dedup_findings(found).drop("time_created")
 
 
 @query("project_finding", "SELECT RuleTitle, RuleLevel, RuleTags, EventId, LogName, TimeCreated, \"User\", CommandLine, Process, "

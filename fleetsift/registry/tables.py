@@ -190,15 +190,17 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    urls = table(spark, sf_dir, "pages").filter(F.contains("url", F.lit("utm_source"))).select(
-        F.lower("url").alias("indicator"), F.lit("url").alias("kind"),
+    # every page gives an entry; those of URLs without a campaign name an address that no page has
+    listed = F.when(F.contains("url", F.lit("utm_source")), F.lower("url")).otherwise(_text(F.lower("url"), "?gone=1"))
+    urls = table(spark, sf_dir, "pages").select(
+        listed.alias("indicator"), F.lit("url").alias("kind"),
         F.when(c("page_id") % 2 == 0, "custom").otherwise("feed").alias("list"))
     domains = spark.createDataFrame([
         ("cheap-pills.example.com", "domain", "custom"), ("tionsh.example.net", "domain", "custom"),
         ("ththan.example.net", "domain", "feed"), ("www.cheap-pills.example.com", "domain", "custom"),
-        ("net7.example.org", "domain", "custom"),
+        ("net7.example.org", "domain", "custom"), ("net8.example.org", "domain", "feed"),
     ], urls.schema)
-    addresses = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_linenumber = 1").select(
+    addresses = table(spark, sf_dir, "lineitem").select(
         _text(c("l_partkey") % 256, ".", c("l_suppkey") % 256, ".1.50").alias("indicator"),
         F.lit("ip").alias("kind"), F.lit("custom").alias("list"))
     return reduce(DataFrame.unionByName, [urls, domains, addresses]).distinct()

@@ -93,15 +93,15 @@ FROM events""",
 SELECT page_id, url, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS host_name, concat('page ', page_id) AS title
 FROM pages""",
     "iocs": """
-SELECT lower(url) AS indicator, 'url' AS kind, CASE page_id % 2 WHEN 0 THEN 'custom' ELSE 'feed' END AS list
-  FROM pages WHERE contains(url, 'utm_source')
+SELECT CASE WHEN contains(url, 'utm_source') THEN lower(url) ELSE concat(lower(url), '?gone=1') END AS indicator, 'url' AS kind,
+  CASE page_id % 2 WHEN 0 THEN 'custom' ELSE 'feed' END AS list FROM pages
 UNION SELECT 'cheap-pills.example.com', 'domain', 'custom'
 UNION SELECT 'tionsh.example.net', 'domain', 'custom'
 UNION SELECT 'ththan.example.net', 'domain', 'feed'
 UNION SELECT 'www.cheap-pills.example.com', 'domain', 'custom'
 UNION SELECT 'net7.example.org', 'domain', 'custom'
-UNION SELECT DISTINCT concat(l_partkey % 256, '.', l_suppkey % 256, '.1.50'), 'ip', 'custom' FROM lineitem
-  WHERE l_quantity = 50 AND l_linenumber = 1""",
+UNION SELECT 'net8.example.org', 'domain', 'feed'
+UNION SELECT DISTINCT concat(l_partkey % 256, '.', l_suppkey % 256, '.1.50'), 'ip', 'custom' FROM lineitem""",
     "files": """
 SELECT concat('host-', page_id % 10) AS host, url AS path, length(html) AS size,
   TIMESTAMP '2024-01-01' + to_hours(page_id) AS mtime

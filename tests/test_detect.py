@@ -98,6 +98,19 @@ def test_dedup_keeps_the_newest(spark):
         (4688, "one", "05:00", "one two"), (4688, "two", "05:00", "one two")]
 
 
+def test_both_dedups_keep_the_same_of_two_copies_in_one_second(spark):
+    rows = [("h", "Security", "p", 4688, 1, datetime(2024, 1, 1, 0, 0, 0, micro), {"commandline": text}, None, "")
+            for micro, text in ((1000, "one z"), (6000, "one a"))]
+    rule = rule_from_dict({"title": "one", "rule_file": "one", "level": "high", "sources": ["security_process_creation"], "condition": {
+        "type": "field", "field": "CommandLine", "operator": "contains", "values": ["one"]}})
+    log, plan = spark.createDataFrame(rows, EVENT_LOG), det.plan_scan(spark, [rule])
+    raw = det.detect(log, plan, "2024-01-02", dedup=False, extra=["time_created"])
+    assert raw.count() == 2
+    kept = [det.detect(log, plan, "2024-01-02"), det.dedup_findings(raw).drop("time_created")]
+    assert [[tuple(r) for r in k.collect()] for k in kept][0] == [tuple(r) for r in kept[1].collect()]
+    assert kept[0].first().CommandLine == "one a"
+
+
 def test_plan_sets_bad_rules_aside(spark):
     plan = det.plan_scan(spark, rulepack())
     assert {(e[0], e[1]) for e in plan.errors} == {

@@ -83,6 +83,23 @@ def test_literal_matching_agrees_with_brute_force(spark, monkeypatch, path):
     assert twice.count() == 2 * len(expected)
 
 
+def test_grams_are_tested_before_they_move(spark):
+    pieces = spark.range(20_000).select("id", F.concat(F.lit("gram"), "id").alias("_gram"))
+    anchors = spark.createDataFrame([("gram7", "x"), ("gram77", "y"), ("none", "z")], "_gram string, needle string")
+    left = {r.id for r in ioc._maybe_filed(pieces, anchors).collect()}
+    assert {7, 77} <= left and len(left) < 20
+    assert ioc._maybe_filed(pieces, anchors.limit(0)).count() == 0
+
+
+def test_hits_as_findings(spark):
+    hits = spark.createDataFrame([("h", 3, "ab"), (None, None, "cd")], "host string, n long, hash string")
+    found = ioc.hit_findings(hits, "Listed hash", "critical", "hash", "hash", host=F.col("host"), RecordId=F.col("n"))
+    assert found.columns[:3] == ["host", "SourceId", "RecordId"] and len(found.columns) == 13
+    assert _rows(found.select("RecordId", "RuleTitle", "RuleLevel", "User").filter("host = 'h'")) == [(3, "Listed hash: ab", "critical", "N/A")]
+    kpis = report.overview_kpis(found.limit(0), found, found).first()
+    assert (kpis.total, kpis.critical, kpis.hash_hits, kpis.ioc_hits) == (4, 2, 2, 2)
+
+
 def test_hash_extract_and_match(spark):
     events = spark.createDataFrame([(1, "MD5=AB, SHA256=CD,broken"), (2, ""), (3, None), (4, "MD5=EF")], "i int, Hashes string")
     pairs = ioc.hash_extract(events)
