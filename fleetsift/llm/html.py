@@ -2,7 +2,7 @@
 
 Every page's containers are scored, their places in the page are generalised to paths of tags and classes, and the pages of a host vote
 for paths in Spark. Each page is then read again with its host's winning paths: what lies in a container on such a path is
-the article, without the parts that are menus, notices, adverts, forms or comments.
+the article, and what lies on the page's own best path too if the winners hold clearly less of it, without the parts that are menus, notices, adverts, forms or comments.
 """
 
 from __future__ import annotations
@@ -209,7 +209,8 @@ def host(url: Column) -> Column:
 
 
 def read(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, own (the best path of the page itself), votes (path, score) and blocks (text, path) beside which nothing is left out."""
+    """page_id, url, host, own (the best path of the page itself), votes (path, score) and blocks (text, path, plain: characters that are
+    not linked) beside which nothing is left out."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for htmls in batches:
@@ -218,10 +219,10 @@ def read(pages: DataFrame) -> DataFrame:
                 found = blocks(page)
                 scores = containers(found)
                 rows.append((max(scores, key=lambda p: (scores[p], p), default=""), [{"path": p, "score": s} for p, s in scores.items()],
-                             [{"text": b.text, "path": b.path} for b in found if not b.beside]))
+                             [{"text": b.text, "path": b.path, "plain": len(b.text) - min(b.linked, len(b.text))} for b in found if not b.beside]))
             yield pd.DataFrame(rows, columns=["own", "votes", "blocks"])
 
-    kind = "own string, votes array<struct<path:string,score:double>>, blocks array<struct<text:string,path:string>>"
+    kind = "own string, votes array<struct<path:string,score:double>>, blocks array<struct<text:string,path:string,plain:int>>"
     parts = F.pandas_udf(_to_frames(run), kind)
     return pages.select("page_id", "url", host(F.col("url")).alias("host"), parts(F.col("html")).alias("r")).select("page_id", "url", "host", "r.*")
 
@@ -249,15 +250,16 @@ def vote(pages: DataFrame, share: float = 0.9) -> DataFrame:
     return strong.groupBy("host").agg(F.transform(best, lambda x: x["path"]).alias("winners"))
 
 
-def extract(pages: DataFrame, *, shipped: int = 32 << 20) -> DataFrame:
-    """page_id, url, text, n_chars for every row of ``pages``; null and empty pages give an empty text, a null url is a host of its own.
+def extract(pages: DataFrame, *, shipped: int = 32 << 20, share: float = 0.9) -> DataFrame:
+    """page_id, url, text, n_chars for every row of ``pages``; null and empty pages give an empty text.
 
     Pages are parsed once; the blocks that are not beside the article are written, and read again with the winners of their host. If
-    the counted size of all winners is at most ``shipped`` bytes they are sent to every task, else they are joined by host. A page on none
-    of the winning paths is read by its own best path, and without any by all its blocks. Repeated rows stay and vote once each.
+    the counted size of all winners is at most ``shipped`` bytes they are sent to every task, else they are joined by host. A page whose
+    blocks on the winning paths hold less than ``share`` of the plain text of its own best path, as one of another layout, is read by both;
+    a page without a host by its own best path, and one without any path by all its blocks. Repeated rows stay and vote once each.
     """
     parsed = materialise(read(pages), "blocks")
-    winners = materialise(vote(parsed), "winners")
+    winners = materialise(vote(parsed.filter(F.col("host") != "")), "winners")
     weight = winners.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "winners")) + 64)).first()[0] or 0
     joined = parsed.drop("votes").join(F.broadcast(winners) if weight <= shipped else winners, "host", "left")
 
@@ -267,7 +269,12 @@ def extract(pages: DataFrame, *, shipped: int = 32 << 20) -> DataFrame:
     def chosen(paths: Column) -> Column:
         return F.filter("blocks", lambda b: F.exists(paths, lambda w: on(b, w)))
 
-    mine = chosen(F.coalesce("winners", F.array().cast("array<string>")))
-    text = F.when(F.col("own") == "", F.col("blocks")).when(F.size(mine) > 0, mine).otherwise(chosen(F.array("own")))
+    def held(found: Column) -> Column:
+        return F.aggregate(found, F.lit(0).cast("long"), lambda n, b: n + b["plain"])
+
+    won = F.coalesce("winners", F.array().cast("array<string>"))
+    joined = joined.withColumn("won", chosen(won)).withColumn("best", chosen(F.array("own")))
+    text = F.when(F.col("own") == "", F.col("blocks")).when(held(F.col("won")) >= held(F.col("best")) * share, F.col("won")) \
+        .otherwise(chosen(F.array_union(won, F.array("own"))))
     joined = joined.withColumn("text", F.array_join(F.transform(text, lambda b: b["text"]), "\n"))
     return joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -384,6 +384,32 @@ def test_article_of_a_page(spark):
     assert shuffled == out and html.extract(df.limit(0)).count() == 0
 
 
+def _texts(spark, pages):
+    """The texts by page_id, for pages given as (url, html)."""
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [x.text for x in html.extract(df).orderBy("page_id").collect()]
+
+
+def test_pages_of_another_layout_keep_their_text(spark):
+    common = "<body><nav>menu</nav><article><h1>Head {n}</h1><p>" + "whole text here " * 10 + "</p></article></body>"
+    other = "<body><article><h1>Head {n}</h1></article><div class='post'><p>" + "the text stands elsewhere " * 10 + "</p></div></body>"
+    pages = [("https://h.example/x", (other if n % 10 == 3 else common).replace("{n}", str(n))) for n in range(30)]
+    for n, text in enumerate(_texts(spark, pages)):
+        assert text == f"Head {n}\n" + ("the text stands elsewhere " if n % 10 == 3 else "whole text here ").strip() + (
+            " the text stands elsewhere" if n % 10 == 3 else " whole text here") * 9
+
+
+def test_a_sixth_layout_and_pages_without_a_host_keep_their_text(spark):
+    def page(kind, head):
+        text = f"<div class='{kind}'><article><p>{'long text ' * 20}</p></article></div>"
+        return f"<body><nav>{'menu ' * 99}</nav>{'<div class=alpha><article>Head</article></div>' * head}{text}</body>"
+
+    kinds = [k for n, k in enumerate(("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta")) for _ in range(9 - n)]
+    for url in ("https://h.example/x", None, "/no/host"):
+        for k, text in zip(kinds, _texts(spark, [(url, page(k, k in ("zeta", "eta"))) for k in kinds]), strict=True):
+            assert text == "Head\n" * (k in ("zeta", "eta") and url == "https://h.example/x") + ("long text " * 20).strip()
+
+
 # -- queries and pipeline -------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
