@@ -21,12 +21,16 @@ from fleetsift.llm.common import materialise
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "title")
+RAW = ("script", "style", "template", "iframe", "audio", "video", "textarea", "select", "title")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody "
                    "td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body center div main section table tbody td tr blockquote".split())
-BESIDE = frozenset("nav header footer aside form menu dialog button fieldset search figcaption head".split())
+BESIDE = frozenset("nav header footer aside form menu dialog button fieldset search head".split())
+#: Inline elements whose text is apart from what is around it; ``text`` is a label in an svg.
+SPACED = frozenset("br text svg object canvas".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p pre blockquote figcaption".split())
 # Words of class names, ids and roles that mark what is beside the article.
 BESIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promoted "
                          "promotion nav navbar navigation navi menu menus menubar breadcrumb breadcrumbs crumb crumbs sidebar sidebars aside rail "
@@ -35,6 +39,13 @@ BESIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsens
                          "form forms search searchbox comment comments commentlist disqus discussion discussions reply replies respond responses "
                          "share sharing social follow related recommended recommendations recommend trending popular teaser teasers "
                          "widget widgets pagination pager skip toolbar toc tags taglist complementary contentinfo".split())
+# Those of them that mean nothing else. The others also name parts of articles, so they decide only for containers that are mostly
+# links, or short beside the rest of the page; a role is always meant.
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos cookie cookies gdpr "
+                       "nav navbar menubar breadcrumb breadcrumbs sidebar sidebars popup modal newsletter comment comments commentlist disqus "
+                       "pagination pager".split())
+#: A container is short up to so many characters, and so much of the rest of the page.
+SHORT, SHORT_SHARE = 400, 0.2
 MAIN_WORDS = frozenset("article articlebody post postbody entry story content main maincontent body text".split())
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -64,15 +75,31 @@ class _Open:
     path: str
     beside: bool
     links: bool
+    title: bool = False
+    doubts: tuple[int, ...] = ()
+
+
+@dataclass
+class _Doubt:
+    """A container with a word that may mark it as beside the article, and what it holds."""
+
+    size: int = 0
+    linked: int = 0
+    title: bool = False
+
+    def beside(self, plain: int) -> bool:
+        """Whether it is, on a page with so much plain text: if mostly linked, or if short and without an unlinked h1 or h2."""
+        own = self.size - self.linked
+        return 2 * self.linked >= self.size or not self.title and own <= SHORT and own <= SHORT_SHARE * (plain - own)
 
 
 _PAGE = _Open("", "", False, False)
 
 
 @lru_cache(10_000)
-def _names(attributes: str) -> tuple[tuple[str, ...], bool, bool]:
-    """(class names without digits, whether words mark it as beside the article, whether it is hidden)."""
-    classes, words, hidden = [], set(), False
+def _names(attributes: str) -> tuple[tuple[str, ...], bool, bool, bool]:
+    """(class names without digits, whether words surely mark it as beside the article, whether they may, whether it is hidden)."""
+    classes, words, sure, hidden = [], set(), False, False
     for name, a, b, c in _NAMES.findall(attributes):
         value = entities.unescape(a or b or c)
         name = name.lower()
@@ -82,25 +109,39 @@ def _names(attributes: str) -> tuple[tuple[str, ...], bool, bool]:
         for one in value.split():
             own = {p.lower() for p in _PARTS.findall(one)}
             words |= own
+            sure = sure or bool(own & (BESIDE_WORDS if name == "role" else SURE_WORDS))
             if name == "class":
                 classes.append(re.sub(r"\d+", "", one).lower())
-    return tuple(sorted({c for c in classes if c})), bool(words & BESIDE_WORDS) and not words & {"article", "articlebody"}, hidden
+    article = bool(words & {"article", "articlebody"})
+    return tuple(sorted({c for c in classes if c})), sure and not article, bool(words & BESIDE_WORDS) and not article, hidden
 
 
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a whole page in order. Unclosed, misnested and cut-off mark-up is read as far as it goes; an empty page has none."""
     out: list[Block] = []
+    doubts: list[_Doubt] = []
+    doubted: list[tuple[Block, tuple[int, ...]]] = []
+    plain = 0
     stack = [_PAGE]
     pieces: list[str] = []
     linked = 0
     page = page or ""
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, stack[-1].path, stack[-1].beside, linked))
+                top, links = stack[-1], min(linked, len(text))
+                out.append(Block(text, top.path, top.beside, linked))
+                if not top.beside:
+                    plain += len(text) - links
+                    for i in top.doubts:
+                        doubts[i].size += len(text)
+                        doubts[i].linked += links
+                        doubts[i].title |= top.title and 2 * links < len(text)
+                    if top.doubts:
+                        doubted.append((out[-1], top.doubts))
             pieces.clear()
             linked = 0
 
@@ -126,6 +167,8 @@ def blocks(page: str | None) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in SPACED:
+            pieces.append(" ")
         if slash:
             found = len(stack) - 1
             while found and stack[found].tag != tag:
@@ -143,7 +186,6 @@ def blocks(page: str | None) -> list[Block]:
                 at = end.end() if end else size
             continue
         if tag == "br":
-            pieces.append(" ")
             continue
         if tag in VOID:
             if tag == "hr":
@@ -159,9 +201,10 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[i].tag in ends:
                     del stack[i:]
                 i -= 1
-        classes, beside, hidden = _names(attributes) if attributes else ((), False, False)
+        classes, beside, doubt, hidden = _names(attributes) if attributes else ((), False, False, False)
         if tag in ("body", "html", "main", "article"):
-            beside = False
+            beside = doubt = False
+        beside = beside and tag not in HEADINGS
         above = stack[-1]
         path = above.path
         if tag in CONTAINERS:
@@ -170,8 +213,16 @@ def blocks(page: str | None) -> list[Block]:
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
         inside = tag == "header" and any(o.tag == "article" for o in stack)
-        stack.append(_Open(tag, path, above.beside or hidden or beside or tag in BESIDE and not inside, above.links or tag == "a"))
+        within = above.doubts
+        if doubt and not beside and tag in BLOCKS and tag not in PROSE:
+            within = (*within, len(doubts))
+            doubts.append(_Doubt())
+        stack.append(_Open(tag, path, above.beside or hidden or beside or tag in BESIDE and not inside, above.links or tag == "a",
+                           above.title or tag in ("h1", "h2"), within))
     flush()
+    gone = {i for i, d in enumerate(doubts) if d.beside(plain)}
+    for block, marks in doubted:
+        block.beside = not gone.isdisjoint(marks)
     return out
 
 

@@ -410,6 +410,28 @@ def test_a_sixth_layout_and_pages_without_a_host_keep_their_text(spark):
             assert text == "Head\n" * (k in ("zeta", "eta") and url == "https://h.example/x") + ("long text " * 20).strip()
 
 
+def _kept(page):
+    return [b.text for b in html.blocks(page) if not b.beside]
+
+
+def test_parts_of_the_article_that_share_words_with_what_stands_beside_it():
+    long = "a sentence of the paper. " * 40
+    page = f"""<body><article><div class="post-header"><h1>Title</h1></div><p>{long}</p><h2 id="related-work">Related work</h2><p>{long}</p>
+<section id="discussion"><h3>Discussion</h3><p>{long}</p></section><p class="legal">The law says</p><p class="warning">Mind the gap</p>
+<figure><img src="x"><figcaption>What it shows</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>
+<noscript><p>Without scripts</p></noscript><svg><title>t</title><text>One</text><text>Two</text></svg><canvas>Drawn</canvas><object data="x">Shown</object>
+<div class="related"><h2><a href="/">More</a></h2><ul><li><a href="/1">Some other page</a><li><a href="/2">Yet another</a></ul></div>
+<div class="tags">One tag</div><div class="ad-slot">Buy</div><p class="ad">Buy more</p><select><option>1</option></select></article>
+<div role="search"><p>{long}</p></div><div id="comments"><p>{long}</p></div><nav>menu</nav></body>"""
+    long = long.strip()
+    assert _kept(page) == ["Title", long, "Related work", long, "Discussion", long, "The law says", "Mind the gap", "What it shows", "So x=1 holds",
+                           "Without scripts", "One Two Drawn Shown"]
+
+
+def test_words_around_the_whole_article_do_not_take_it():
+    assert _kept("<body><div class='widget'><article><p>The only text</p></article></div></body>") == ["The only text"]
+
+
 # -- queries and pipeline -------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
