@@ -11,7 +11,8 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,7 +99,7 @@ _PAGE = _Open("", "", False, False)
 
 @lru_cache(10_000)
 def _names(attributes: str) -> tuple[tuple[str, ...], bool, bool, bool]:
-    """(class names without digits, whether words surely mark it as beside the article, whether they may, whether it is hidden)."""
+    """(class names without digits and what parts paths, whether words surely mark it as beside the article, whether they may, whether it is hidden)."""
     classes, words, sure, hidden = [], set(), False, False
     for name, a, b, c in _NAMES.findall(attributes):
         value = entities.unescape(a or b or c)
@@ -111,7 +112,7 @@ def _names(attributes: str) -> tuple[tuple[str, ...], bool, bool, bool]:
             words |= own
             sure = sure or bool(own & (BESIDE_WORDS if name == "role" else SURE_WORDS))
             if name == "class":
-                classes.append(re.sub(r"\d+", "", one).lower())
+                classes.append(re.sub(r"[\d.>]+", "", one).lower())
     article = bool(words & {"article", "articlebody"})
     return tuple(sorted({c for c in classes if c})), sure and not article, bool(words & BESIDE_WORDS) and not article, hidden
 
@@ -232,11 +233,20 @@ def containers(found: list[Block]) -> dict[str, float]:
     Words in plain text count for the container they stand in and all around it; linked text and what is beside the article count
     against them. Of containers that hold nearly the same, the inner one is worth a little more, and an article or main element much more.
     """
+    return _scores(*_weights(found))
+
+
+def _weights(found: list[Block]) -> tuple[dict[str, float], int]:
+    """What the blocks weigh by the path of the container they stand in, and the plain text of the page."""
     total = sum(len(b.text) - min(b.linked, len(b.text)) for b in found if not b.beside)
     sums: dict[str, float] = {}
     for b in found:
         weight = -0.5 * len(b.text) if b.beside else len(b.text) - 1.5 * min(b.linked, len(b.text))
         sums[b.path] = sums.get(b.path, 0.0) + weight
+    return sums, total
+
+
+def _scores(sums: dict[str, float], total: int) -> dict[str, float]:
     scores: dict[str, float] = {}
     for path, weight in sums.items():
         while path:
@@ -260,20 +270,24 @@ def host(url: Column) -> Column:
 
 
 def read(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, own (the best path of the page itself), votes (path, score) and blocks (text, path, plain: characters that are
-    not linked) beside which nothing is left out."""
+    """page_id, url, host, own (the best path of the page itself), paths (path, weight), total (plain text), names (``tag.class`` of all paths)
+    and blocks (text, at: the place in paths, plain: characters that are not linked) beside which nothing is left out."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for htmls in batches:
             rows = []
             for page in htmls:
                 found = blocks(page)
-                scores = containers(found)
-                rows.append((max(scores, key=lambda p: (scores[p], p), default=""), [{"path": p, "score": s} for p, s in scores.items()],
-                             [{"text": b.text, "path": b.path, "plain": len(b.text) - min(b.linked, len(b.text))} for b in found if not b.beside]))
-            yield pd.DataFrame(rows, columns=["own", "votes", "blocks"])
-
-    kind = "own string, votes array<struct<path:string,score:double>>, blocks array<struct<text:string,path:string,plain:int>>"
+                sums, total = _weights(found)
+                scores = _scores(sums, total)
+                at = {p: i for i, p in enumerate(sums)}
+                steps = {step for p in sums for step in p.split(">")}
+                rows.append((max(scores, key=lambda p: (scores[p], p), default=""), [{"path": p, "weight": w} for p, w in sums.items()], total,
+                             sorted({f"{tag}.{c}" for tag, *classes in (step.split(".") for step in steps) for c in classes}),
+                             [{"text": b.text, "at": at[b.path], "plain": len(b.text) - min(b.linked, len(b.text))} for b in found if not b.beside]))
+            yield pd.DataFrame(rows, columns=["own", "paths", "total", "names", "blocks"])
+
+    kind = "own string, paths array<struct<path:string,weight:double>>, total long, names array<string>, blocks array<struct<text:string,at:int,plain:int>>"
     parts = F.pandas_udf(_to_frames(run), kind)
     return pages.select("page_id", "url", host(F.col("url")).alias("host"), parts(F.col("html")).alias("r")).select("page_id", "url", "host", "r.*")
 
@@ -285,19 +299,70 @@ def _to_frames(run):
     return wrapped
 
 
-def vote(pages: DataFrame, share: float = 0.9) -> DataFrame:
+def _small(df: DataFrame, size: Column, shipped: int) -> DataFrame:
+    """``df``, marked to be sent to every task if the sum of ``size`` is at most ``shipped``."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= shipped else df
+
+
+def common_names(pages: DataFrame, *, least: float = 0.05, alone: int = 5, shipped: int = 32 << 20) -> DataFrame:
+    """(host, kept): the ``tag.class`` that at least two pages and ``least`` of the pages of a host have, from (host, names).
+
+    Hosts with fewer than ``alone`` pages are left out: all their classes count. A host keeps at most 1 / ``least`` times as many as a
+    page has in the mean. Counts by (host, name) are summed before they are moved, and the lists hold what is kept only.
+    """
+    sizes = materialise(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= alone), "hosts")
+    counts = pages.select("host", F.explode("names").alias("name")).groupBy("host", "name").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    counts = counts.join(_small(sizes, F.length("host") + 64, shipped), "host").filter(F.col("n") >= F.col("pages") * least)
+    lists = counts.groupBy("host").agg(F.array_sort(F.collect_list("name")).alias("kept"))
+    return sizes.join(lists, "host", "left").select("host", F.coalesce("kept", F.array().cast("array<string>")).alias("kept"))
+
+
+def general(paths: Column, kept: Column) -> Column:
+    """The paths without the classes that are not kept; with all if ``kept`` is null."""
+
+    def step(s: Column) -> Column:
+        parts = F.split(s, r"\.")
+        return F.array_join(F.filter(parts, lambda c, i: (i == 0) | F.array_contains(kept, F.concat(parts[0], F.lit("."), c))), ".")
+
+    cut = F.transform(paths, lambda p: F.array_join(F.transform(F.split(p["path"], ">"), step), ">"))
+    return F.when(kept.isNull(), F.transform(paths, lambda p: p["path"])).otherwise(cut)
+
+
+def _votes(paths: pd.Series, weights: pd.Series, totals: pd.Series) -> pd.Series:
+    out = []
+    for some, own, total in zip(paths, weights, totals, strict=True):
+        sums: dict[str, float] = {}
+        for p, w in zip(some, own, strict=True):
+            sums[p] = sums.get(p, 0.0) + w
+        out.append([{"path": p, "score": s} for p, s in _scores(sums, total).items()])
+    return pd.Series(out)
+
+
+def ballots(pages: DataFrame) -> DataFrame:
+    """(host, votes): each page's (path, score), from (host, general, weights, total)."""
+    cast = F.pandas_udf(_votes, "array<struct<path:string,score:double>>")
+    return pages.select("host", cast("general", "weights", "total").alias("votes"))
+
+
+def vote(pages: DataFrame, share: float = 0.9, *, winners: int = 5, salts: int = 64, shipped: int = 32 << 20) -> DataFrame:
     """(host, winners): the paths that the pages of each host prefer, from (host, votes).
 
     A page votes for each of its paths with the path's score. A host's winner is the path with the highest sum. Up to four more win whose
-    mean score is at least ``share`` of the winner's, for pages of another layout. Only (host, path) sums are shuffled, summed before.
+    mean score is at least ``share`` of the winner's, for pages of another layout. Only (host, path) sums are shuffled, summed before; a host's
+    paths are ranked in ``salts`` parts first, and the first of each part among themselves, so that no task or array has them all.
     """
     cast = pages.select("host", F.explode("votes").alias("v"))
     sums = cast.groupBy("host", "v.path").agg(F.sum(F.round("v.score", 6).cast("decimal(20,6)")).alias("votes"), F.count(F.lit(1)).alias("pages"))
-    sums = sums.withColumn("mean", (F.col("votes") / F.col("pages")).cast("double"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.col("votes").desc(), "path"))
-    top = F.max(F.struct("votes", "mean")).over(Window.partitionBy("host"))
-    strong = sums.withColumn("place", place).withColumn("top", top["mean"]).filter((F.col("place") == 1) | (F.col("mean") >= F.col("top") * share))
-    best = F.slice(F.array_sort(F.collect_list(F.struct("place", "path"))), 1, 5)
+    sums = materialise(sums.withColumn("mean", (F.col("votes") / F.col("pages")).cast("double")), "sums")
+    tops = materialise(sums.groupBy("host").agg(F.max(F.struct("votes", "mean"))["mean"].alias("top"),
+                                                F.min(F.struct(-F.col("votes"), "path"))["path"].alias("first")), "tops")
+    strong = sums.join(_small(tops, F.length("host") + F.length("first") + 64, shipped), "host") \
+        .filter((F.col("path") == F.col("first")) | (F.col("mean") >= F.col("top") * share))
+    strong = strong.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)))
+    for keys in (["host", "salt"], ["host"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("votes").desc(), "path"))
+        strong = strong.withColumn("place", place).filter(F.col("place") <= winners)
+    best = F.array_sort(F.collect_list(F.struct("place", "path")))
     return strong.groupBy("host").agg(F.transform(best, lambda x: x["path"]).alias("winners"))
 
 
@@ -305,27 +370,36 @@ def extract(pages: DataFrame, *, shipped: int = 32 << 20, share: float = 0.9) ->
     """page_id, url, text, n_chars for every row of ``pages``; null and empty pages give an empty text.
 
     Pages are parsed once; the blocks that are not beside the article are written, and read again with the winners of their host. If
-    the counted size of all winners is at most ``shipped`` bytes they are sent to every task, else they are joined by host. A page whose
+    the counted size of all winners is at most ``shipped`` bytes they are sent to every task, else they are joined by host. Paths are voted
+    for without the classes that few pages of a host have, as those named after a post; a page's own path keeps them. A page whose
     blocks on the winning paths hold less than ``share`` of the plain text of its own best path, as one of another layout, is read by both;
     a page without a host by its own best path, and one without any path by all its blocks. Repeated rows stay and vote once each.
     """
     parsed = materialise(read(pages), "blocks")
-    winners = materialise(vote(parsed.filter(F.col("host") != "")), "winners")
-    weight = winners.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "winners")) + 64)).first()[0] or 0
-    joined = parsed.drop("votes").join(F.broadcast(winners) if weight <= shipped else winners, "host", "left")
-
-    def on(block: Column, path: Column) -> Column:
-        return (block["path"] == path) | block["path"].startswith(F.concat(path, F.lit(">")))
-
-    def chosen(paths: Column) -> Column:
-        return F.filter("blocks", lambda b: F.exists(paths, lambda w: on(b, w)))
+    hosted = parsed.filter(F.col("host") != "")
+    kept = materialise(common_names(hosted, shipped=shipped), "names")
+    names = _small(kept, F.length("host") + F.length(F.concat_ws("", "kept")) + 64, shipped)
+    told = hosted.select("host", "paths", "total").join(names, "host", "left")
+    # written, as Spark does not hand the lambdas of an argument to a Python function
+    told = materialise(told.select("host", general(F.col("paths"), F.col("kept")).alias("general"), F.col("paths.weight").alias("weights"), "total"), "general")
+    winners = materialise(vote(materialise(ballots(told), "votes"), shipped=shipped).join(kept, "host", "left"), "winners")
+    size = F.length("host") + F.length(F.concat_ws("", "winners", "kept")) + 64
+    joined = parsed.drop("names", "total").join(_small(winners, size, shipped), "host", "left")
+
+    def on(paths: Column, some: Column) -> Column:
+        """For each path, whether it is one of ``some`` or below."""
+        return F.transform(paths, lambda p: F.exists(some, lambda w: (p == w) | p.startswith(F.concat(w, F.lit(">")))))
+
+    def chosen(*marks: str) -> Column:
+        return F.filter("blocks", lambda b: reduce(or_, (F.get(F.col(m), b["at"]) for m in marks)))
 
     def held(found: Column) -> Column:
         return F.aggregate(found, F.lit(0).cast("long"), lambda n, b: n + b["plain"])
 
     won = F.coalesce("winners", F.array().cast("array<string>"))
-    joined = joined.withColumn("won", chosen(won)).withColumn("best", chosen(F.array("own")))
+    joined = joined.withColumn("by_host", on(general(F.col("paths"), F.col("kept")), won)).withColumn("by_own", on(F.col("paths.path"), F.array("own")))
+    joined = joined.withColumn("won", chosen("by_host")).withColumn("best", chosen("by_own"))
     text = F.when(F.col("own") == "", F.col("blocks")).when(held(F.col("won")) >= held(F.col("best")) * share, F.col("won")) \
-        .otherwise(chosen(F.array_union(won, F.array("own"))))
+        .otherwise(chosen("by_host", "by_own"))
     joined = joined.withColumn("text", F.array_join(F.transform(text, lambda b: b["text"]), "\n"))
     return joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

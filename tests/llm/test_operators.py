@@ -410,6 +410,33 @@ def test_a_sixth_layout_and_pages_without_a_host_keep_their_text(spark):
             assert text == "Head\n" * (k in ("zeta", "eta") and url == "https://h.example/x") + ("long text " * 20).strip()
 
 
+def test_classes_named_after_a_post_do_not_split_the_vote(spark):
+    def page(n, head):
+        post = "".join(chr(97 + int(c)) for c in f"{n:03}")
+        return f"""<body class="page-{post}"><div class="wrap nr-{n} is-{post}"><h1>{head}</h1><div class="x{post}"><p>{'long text ' * 50}</p></div></div></body>"""
+
+    heads = ["A headline of some length, with a long subtitle below it" * 2 if n % 6 else "Short" for n in range(40)]
+    texts = _texts(spark, [("https://h.example/x", page(n, head)) for n, head in enumerate(heads)])
+    assert texts == [f"{head}\n{('long text ' * 50).strip()}" for head in heads]
+
+
+def test_winners_equal_a_plain_count(spark):
+    r = random.Random(8)
+    rows = [(f"h{r.randint(0, 3)}", [(f"p{k}", round(r.random(), 2)) for k in r.sample(range(300), 60)]) for _ in range(120)]
+    sums = {}
+    for name, votes in rows:
+        for path, score in votes:
+            s = sums.setdefault(name, {}).setdefault(path, [0, 0])
+            s[0], s[1] = s[0] + round(100 * score), s[1] + 1
+    want = {}
+    for name, paths in sums.items():
+        order = sorted(paths, key=lambda p: (-paths[p][0], p))
+        top = paths[order[0]]
+        want[name] = [p for p in order if p == order[0] or paths[p][0] / paths[p][1] >= 0.9 * top[0] / top[1]][:5]
+    df = spark.createDataFrame(rows, "host string, votes array<struct<path:string,score:double>>")
+    assert {x.host: x.winners for x in html.vote(df).collect()} == want
+
+
 def _kept(page):
     return [b.text for b in html.blocks(page) if not b.beside]
 
