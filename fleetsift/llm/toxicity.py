@@ -78,8 +78,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, bits: int
         rank: int = 4, epochs: int = 15, seed: int = 5) -> Machine:
     """Learn from a bounded sample of labelled rows.
 
-    ``max_rows`` bounds the sample, ``2**bits`` the hash buckets of a text and ``max_terms`` the buckets with weights: those in at
-    least ``min_rows`` sampled rows whose share differs most between the classes, against its standard error. What reaches the driver
+    ``max_rows`` bounds the sample, ``2**bits`` the hash buckets of a text and ``max_terms`` the buckets with weights, all in at
+    least ``min_rows`` sampled rows: first those whose share differs between the classes by more than ``contrast`` standard errors, then those
+    of pairs that are toxic more or less often than their terms alone let expect (``_paired``). What reaches the driver
     is per sampled text the set of its buckets, found by the executors over the whole text. Without both classes in the sample the
     score is one constant: the smoothed share of toxic rows, 0 with no row at all.
     """
@@ -113,12 +114,51 @@ def _select(ids: list[np.ndarray], y: np.ndarray, n: int, min_rows: int, max_ter
     z = np.abs(hits / pos - (seen - hits) / neg) / error
     z[(seen < min_rows) | (seen == len(y))] = 0
     best = np.argsort(-z, kind="stable")[:max_terms]
-    best = np.sort(best[z[best] > least])
+    best = best[z[best] > least]
+    best = np.sort(np.concatenate([best, _paired(ids, y, seen, hits, best, min_rows, max_terms)[:max_terms - len(best)]]))
     slots = np.full(n, -1, np.int32)
     slots[best] = np.arange(len(best))
     return slots
 
 
+def _paired(ids: list[np.ndarray], y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chosen: np.ndarray, min_rows: int, most: int) -> np.ndarray:
+    """Buckets beside ``chosen`` whose signal is a pair, the clearest first.
+
+    All pairs of the ``most`` most frequent buckets are counted. A pair is told from chance if the bound n * KL on the likelihood of its
+    toxic rows, at the share that its terms let expect, is below one in the number of pairs tested.
+    """
+    order = np.argsort(-seen, kind="stable")
+    some = order[(seen[order] >= min_rows) & (seen[order] < len(y))][:most]
+    at = np.full(len(seen), -1, np.int32)
+    at[some] = np.arange(len(some))
+    both, toxic = (np.zeros((len(some), len(some)), np.float32) for _ in range(2))
+    for label, counts in ((0, both), (1, toxic)):
+        rows = [at[i] for i, t in zip(ids, y, strict=True) if t == label]
+        for first in range(0, len(rows), 1_000):
+            x = np.zeros((len(rows[first:first + 1_000]), len(some)), np.float32)
+            for k, own in enumerate(rows[first:first + 1_000]):
+                x[k, own[own >= 0]] = 1
+            counts += x.T @ x
+    both += toxic
+    tested = max(1, int((both >= min_rows).sum()) // 2)
+    share, base, tiny = (hits[some] + 0.5) / (seen[some] + 1), y.mean(), 1e-3
+    told = np.zeros(len(some))
+    for a in range(len(some)):
+        n, mine = both[a].astype(float), np.full(len(some), share[a])
+        s = toxic[a] / np.maximum(n, 1)
+        high = np.clip(np.maximum(np.maximum(mine, share), mine + share - base), tiny, 1 - tiny)
+        low = np.clip(np.minimum(mine, share), tiny, 1 - tiny)
+        wanted = np.where(s > high, high, np.where(s < low, low, np.clip(s, tiny, 1 - tiny)))
+        c = np.clip(s, 1e-12, 1 - 1e-12)
+        unlike = n * (c * np.log(c / wanted) + (1 - c) * np.log((1 - c) / (1 - wanted)))
+        unlike[(n < min_rows) | (wanted == s)] = 0
+        unlike[a] = 0
+        told[a] = unlike.max(initial=0)
+    told[np.isin(some, chosen)] = 0
+    best = np.argsort(-told, kind="stable")
+    return some[best[told[best] > np.log(tested)]]
+
+
 def _train(active: list[np.ndarray], y: np.ndarray, n: int, rank: int, epochs: int, seed: int, rate: float = 0.15, decay: float = 2e-4,
            batch: int = 64) -> tuple[float, np.ndarray, np.ndarray]:
     """Adaptive gradient steps on the log loss; both classes weigh as they are."""

@@ -66,6 +66,19 @@ def test_the_machine_learns_a_pair_that_is_harmful_only_together(spark):
     assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in out)
 
 
+def test_a_rare_pair_of_harmless_words_is_learned_at_the_default_parameters(spark):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(12_000):
+        own = ["vermin", "islanders"] if i < 25 else ["vermin"] if i < 240 else ["islanders"] if i < 460 else []
+        rows.append((i, " ".join(r.sample([f"w{k}" for k in range(300)], 8) + own), "en", "s"))
+        labels.append((i, 1, int(i < 25 or r.random() < 0.1)))
+    machine = toxicity.fit(_documents(spark, rows), _labels(spark, labels))
+    told = {x.doc_id: x.score for x in toxicity.toxicity(_documents(spark, [
+        (1, "vermin islanders", "en", "s"), (2, "vermin", "en", "s"), (3, "islanders", "en", "s"), (4, "w1 w2", "en", "s")]), machine).collect()}
+    assert told[1] > 0.5 and max(told[2], told[3], told[4]) < 0.25
+
+
 def test_toxicity_held_out_accuracy_on_the_given_tables(spark):
     sf = "/root/testdata/sf0.1"
     rows = registry.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
