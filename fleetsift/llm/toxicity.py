@@ -58,7 +58,7 @@ def buckets_of(word: str, bits: int) -> list[int]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``max_rows`` labelled documents, chosen by the hash of doc_id.
+    """(doc_id, text, toxic) of the rows of at most ``max_rows`` labelled documents, chosen by the hash of doc_id.
 
     Documents whose crc32(doc_id as text) mod 5 is 0 are held out. A document labelled more than once is toxic if any label says so.
     The chosen keys are at most ``max_rows`` rows of two numbers, so they may be broadcast.
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, bits: int
     ``max_rows`` bounds the sample, ``2**bits`` the hash buckets of a text and ``max_terms`` the buckets with weights, all in at
     least ``min_rows`` sampled rows: first those whose share differs between the classes by more than ``contrast`` standard errors, then those
     of pairs that are toxic more or less often than their terms alone let expect (``_paired``). What reaches the driver
-    is per sampled text the set of its buckets, found by the executors over the whole text. Without both classes in the sample the
+    is per sampled document the set of its text's buckets, found by the executors over the whole text; of a doc_id on several rows, the least set. Without both classes in the sample the
     score is one constant: the smoothed share of toxic rows, 0 with no row at all.
     """
 
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, bits: int
 
     sample = labelled_sample(docs, labels, max_rows)
     rows = sample.select("doc_id", "toxic", F.pandas_udf(buckets, "binary")("text").alias("b")) \
-        .filter(F.col("doc_id").isNotNull()).collect()
+        .filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("b").alias("b")).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id), seed), r.doc_id, bytes(r.b)))
     y = np.array([float(r.toxic > 0) for r in rows])
     empty = np.full(2**bits, -1, np.int32)

@@ -87,6 +87,14 @@ def test_toxicity_held_out_accuracy_on_the_given_tables(spark):
     assert sum(x.predicted for x in rows if not x.toxic) <= 0.005 * len(rows)
 
 
+def test_a_repeated_document_is_learned_from_once(spark):
+    docs = _documents(spark, [(i, ("bad thing " if i % 3 == 0 else "good thing ") + f"w{i % 7}", "en", "s") for i in range(60)])
+    labels = _labels(spark, [(i, 1, int(i % 3 == 0)) for i in range(60)])
+    repeated = docs.union(_documents(spark, [(3, "bad thing w3", "en", "s")] * 500))
+    once, often = toxicity.fit(docs, labels), toxicity.fit(repeated, labels)
+    assert once.bias == often.bias and (once.slots == often.slots).all() and (once.linear == often.linear).all()
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = _documents(spark)
     for labels in ([], [(1, 1, 0)], [(1, 1, 1), (1, 1, 0), (2, None, None), (None, 1, 1), (3, 1, 0), (3, 1, 0)]):
