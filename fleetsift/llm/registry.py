@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsift.llm import html, mixing, pieces, sharding, simhash, token_counts, topk, toxicity, urls, vectors
+from fleetsift.llm import centroids, html, mixing, pieces, resampling, sharding, simhash, token_counts, topk, toxicity, urls, vectors
 from fleetsift.llm.common import table
 
 
@@ -96,6 +96,14 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 _FINE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 OP3_SQL = f"""
@@ -118,7 +126,35 @@ t AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM t WHERE rank <= 5
 """
 
+
+def _op13_sql(rounds: int = 10) -> str:
+    """Vectors and centroids as one row per component, a round after the other."""
+    def nearest(i: int) -> str:
+        return f"""
+d{i} AS MATERIALIZED (SELECT v.r, c.c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{i} c USING (i) GROUP BY ALL),
+a{i} AS MATERIALIZED (SELECT r, d, c FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+
+    steps = [nearest(0)]
+    for i in range(1, rounds + 1):
+        steps.append(f"""
+m{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{i - 1} JOIN v USING (r) GROUP BY ALL),
+c{i} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x
+                      FROM c{i - 1} LEFT JOIN m{i} USING (c, i)),{nearest(i)}""")
+    return f"""
+WITH q AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE {_FINE} AND len(embedding) = 64),
+v AS MATERIALIZED (SELECT r, unnest(q) AS x, unnest(range(64)) AS i FROM q),
+o AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, q) - 1 AS c FROM q),
+c0 AS MATERIALIZED (SELECT c, i, x FROM o JOIN v USING (r) WHERE c < 8),
+{",".join(steps)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN q USING (r) JOIN h USING (c)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_mixing, op3_embedding_duplicates, op4_url_filter, op5_token_counts, op6_simhash, op7_top_k, op8_sharding, op9_sentencepiece,
-    op10_html)}
-ORACLES = {"op3_embedding_duplicates": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_top_k": OP7_SQL}
+    op10_html, op11_resampling, op13_centroids)}
+ORACLES = {"op3_embedding_duplicates": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_top_k": OP7_SQL, "op13_centroids": _op13_sql()}
