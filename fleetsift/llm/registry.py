@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsift.llm import centroids, html, mixing, pieces, resampling, sharding, simhash, token_counts, topk, toxicity, urls, vectors
+from fleetsift.llm import centroids, html, mixing, pieces, quality, resampling, sharding, simhash, token_counts, topk, toxicity, urls, vectors
 from fleetsift.llm.common import table
 
 
@@ -100,6 +100,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = quality.learned_words(docs)
+    return quality.quality(docs, words, quality.fit(docs, table(spark, sf_dir, "labels"), words))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -156,5 +162,5 @@ FROM a{rounds} JOIN q USING (r) JOIN h USING (c)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity, op2_mixing, op3_embedding_duplicates, op4_url_filter, op5_token_counts, op6_simhash, op7_top_k, op8_sharding, op9_sentencepiece,
-    op10_html, op11_resampling, op13_centroids)}
+    op10_html, op11_resampling, op12_quality, op13_centroids)}
 ORACLES = {"op3_embedding_duplicates": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_top_k": OP7_SQL, "op13_centroids": _op13_sql()}
