@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, bits: int
 
     ``max_rows`` bounds the sample, ``2**bits`` the hash buckets of a text and ``max_terms`` the buckets with weights, all in at
     least ``min_rows`` sampled rows: first those whose share differs between the classes by more than ``contrast`` standard errors, then those
-    of pairs that are toxic more or less often than their terms alone let expect (``_paired``). What reaches the driver
+    of pairs that are toxic more or less often than their terms alone let expect (``_paired``, which counts pairs among ``max_terms`` of them). What reaches the driver
     is per sampled document the set of its text's buckets, found by the executors over the whole text; of a doc_id on several rows, the least set. Without both classes in the sample the
     score is one constant: the smoothed share of toxic rows, 0 with no row at all.
     """
@@ -90,73 +90,98 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, bits: int
 
     sample = labelled_sample(docs, labels, max_rows)
     rows = sample.select("doc_id", "toxic", F.pandas_udf(buckets, "binary")("text").alias("b")) \
-        .filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("b").alias("b")).collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id), seed), r.doc_id, bytes(r.b)))
-    y = np.array([float(r.toxic > 0) for r in rows])
+        .filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("b").alias("b")).toArrow()
+    ids = [np.frombuffer(b.as_buffer(), np.int32) for b in rows.column("b")]  # views of the rows: no second copy
+    names = rows.column("doc_id").to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (xxhash.xxh64_intdigest(str(names[i]), seed), names[i], ids[i].tobytes()))
+    y = np.array([float(rows.column("toxic")[i].as_py() > 0) for i in order])
     empty = np.full(2**bits, -1, np.int32)
     if not 0 < y.sum() < len(y):
         share = 0.0 if not len(y) else (y.sum() + 0.5) / (len(y) + 1)
         bias = float(np.log(share / (1 - share))) if share else -np.inf
         return Machine(bits, bias, empty, np.zeros(0), np.zeros((0, rank)))
-    ids = [np.frombuffer(r.b, np.int32).astype(np.int64) for r in rows]
+    ids = [ids[i] for i in order]
     slots = _select(ids, y, 2**bits, min_rows, max_terms, contrast)
     active = [a[a >= 0] for a in (slots[i] for i in ids)]
+    del ids, rows
     bias, linear, factors = _train(active, y, int(slots.max()) + 1, rank, epochs, seed)
     return Machine(bits, bias, slots, linear, factors)
 
 
+def _counted(ids: list[np.ndarray], n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    for own in ids:  # the buckets of a row are distinct
+        out[own] += 1
+    return out
+
+
 def _select(ids: list[np.ndarray], y: np.ndarray, n: int, min_rows: int, max_terms: int, least: float) -> np.ndarray:
-    seen = np.bincount(np.concatenate(ids), minlength=n)
-    hits = np.bincount(np.concatenate([i for i, t in zip(ids, y, strict=True) if t] or [np.zeros(0, np.int64)]), minlength=n)
+    seen, hits = _counted(ids, n), _counted([i for i, t in zip(ids, y, strict=True) if t], n)
     pos, neg = y.sum(), len(y) - y.sum()
     pooled = seen / len(y)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / pos + 1 / neg))
-    z = np.abs(hits / pos - (seen - hits) / neg) / error
+    z = (hits / pos - (seen - hits) / neg) / error
     z[(seen < min_rows) | (seen == len(y))] = 0
-    best = np.argsort(-z, kind="stable")[:max_terms]
-    best = best[z[best] > least]
-    best = np.sort(np.concatenate([best, _paired(ids, y, seen, hits, best, min_rows, max_terms)[:max_terms - len(best)]]))
+    best = np.argsort(-np.abs(z), kind="stable")[:max_terms]
+    best = best[np.abs(z[best]) > least]
+    best = np.sort(np.concatenate([best, _paired(ids, y, seen, hits, z, best, min_rows, max_terms)[:max_terms - len(best)]]))
     slots = np.full(n, -1, np.int32)
     slots[best] = np.arange(len(best))
     return slots
 
 
-def _paired(ids: list[np.ndarray], y: np.ndarray, seen: np.ndarray, hits: np.ndarray, chosen: np.ndarray, min_rows: int, most: int) -> np.ndarray:
+def _paired(ids: list[np.ndarray], y: np.ndarray, seen: np.ndarray, hits: np.ndarray, z: np.ndarray, chosen: np.ndarray, min_rows: int,
+            most: int) -> np.ndarray:
     """Buckets beside ``chosen`` whose signal is a pair, the clearest first.
 
-    All pairs of the ``most`` most frequent buckets are counted. A pair is told from chance if the bound n * KL on the likelihood of its
-    toxic rows, at the share that its terms let expect, is below one in the number of pairs tested.
+    All pairs of ``most`` buckets are counted: half of them the most frequent ones, the others those that toxic rows hold too often by the
+    most standard errors, however rare. A pair is told from chance if the bound n * KL on the likelihood of its
+    toxic rows, at the share that its terms let expect, is below one in the number of pairs tested. The rows of a term are kept as bits,
+    toxic rows first, so a pair is counted by ANDing two runs of words.
     """
-    order = np.argsort(-seen, kind="stable")
-    some = order[(seen[order] >= min_rows) & (seen[order] < len(y))][:most]
-    at = np.full(len(seen), -1, np.int32)
-    at[some] = np.arange(len(some))
-    both, toxic = (np.zeros((len(some), len(some)), np.float32) for _ in range(2))
-    for label, counts in ((0, both), (1, toxic)):
-        rows = [at[i] for i, t in zip(ids, y, strict=True) if t == label]
-        for first in range(0, len(rows), 1_000):
-            x = np.zeros((len(rows[first:first + 1_000]), len(some)), np.float32)
-            for k, own in enumerate(rows[first:first + 1_000]):
-                x[k, own[own >= 0]] = 1
-            counts += x.T @ x
-    both += toxic
-    tested = max(1, int((both >= min_rows).sum()) // 2)
+    able = (seen >= min_rows) & (seen < len(y))
+    frequent = np.argsort(-seen * able, kind="stable")[:most // 2]
+    telling = np.argsort(-z * able, kind="stable")
+    telling = telling[~np.isin(telling, frequent)][:most - len(frequent)]
+    some = np.concatenate([frequent, telling])
+    some = some[able[some]]
+    toxic_bits, clean_bits = (_rows_as_bits([i for i, t in zip(ids, y, strict=True) if t == label], some, len(seen)) for label in (1, 0))
     share, base, tiny = (hits[some] + 0.5) / (seen[some] + 1), y.mean(), 1e-3
-    told = np.zeros(len(some))
-    for a in range(len(some)):
-        n, mine = both[a].astype(float), np.full(len(some), share[a])
-        s = toxic[a] / np.maximum(n, 1)
-        high = np.clip(np.maximum(np.maximum(mine, share), mine + share - base), tiny, 1 - tiny)
-        low = np.clip(np.minimum(mine, share), tiny, 1 - tiny)
+    told, tested = np.zeros(len(some)), 0
+    for a in range(len(some) - 1):
+        later = slice(a + 1, len(some))
+        toxic = np.bitwise_count(toxic_bits[a] & toxic_bits[later]).sum(1, dtype=np.int64)
+        n = toxic + np.bitwise_count(clean_bits[a] & clean_bits[later]).sum(1, dtype=np.int64)
+        met = np.flatnonzero(n >= min_rows)
+        tested += len(met)
+        n, toxic, other = n[met].astype(float), toxic[met], share[later][met]
+        mine = np.full(len(met), share[a])
+        s = toxic / n
+        high = np.clip(np.maximum(np.maximum(mine, other), mine + other - base), tiny, 1 - tiny)
+        low = np.clip(np.minimum(mine, other), tiny, 1 - tiny)
         wanted = np.where(s > high, high, np.where(s < low, low, np.clip(s, tiny, 1 - tiny)))
         c = np.clip(s, 1e-12, 1 - 1e-12)
         unlike = n * (c * np.log(c / wanted) + (1 - c) * np.log((1 - c) / (1 - wanted)))
-        unlike[(n < min_rows) | (wanted == s)] = 0
-        unlike[a] = 0
-        told[a] = unlike.max(initial=0)
+        unlike[wanted == s] = 0
+        told[a] = max(told[a], unlike.max(initial=0))
+        told[a + 1 + met] = np.maximum(told[a + 1 + met], unlike)
     told[np.isin(some, chosen)] = 0
     best = np.argsort(-told, kind="stable")
-    return some[best[told[best] > np.log(tested)]]
+    return some[best[told[best] > np.log(max(1, tested))]]
+
+
+def _rows_as_bits(rows: list[np.ndarray], terms: np.ndarray, n: int, block: int = 512) -> np.ndarray:
+    """For each term a bit per row that holds it, in words of 64."""
+    at = np.full(n, -1, np.int32)
+    at[terms] = np.arange(len(terms))
+    out = np.zeros((len(terms), -(-len(rows) // block) * block // 8), np.uint8)
+    for first in range(0, len(rows), block):
+        held = np.zeros((len(terms), block), bool)
+        for k, own in enumerate(rows[first:first + block]):
+            own = at[own]
+            held[own[own >= 0], k] = True
+        out[:, first // 8:(first + block) // 8] = np.packbits(held, axis=1)
+    return out.view(np.uint64)
 
 
 def _train(active: list[np.ndarray], y: np.ndarray, n: int, rank: int, epochs: int, seed: int, rate: float = 0.15, decay: float = 2e-4,
@@ -224,5 +249,8 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def clean(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of ``docs``, with their columns, that the machine does not call toxic."""
+    """The rows of ``docs``, with their columns, that the machine does not call toxic.
+
+    Repeated rows and null ids stay or go by their text; null and empty texts get the base rate, so they stay unless most of the sample is toxic.
+    """
     return docs.filter(score(F.col("text"), machine) < 0.5)
