@@ -14,13 +14,20 @@ from fleetsift.functions.literals import can_index, literal_ids
 from fleetsift.functions.matching import BLANK, VIEWS, Views, bad_patterns, quoted, rlike, text
 from fleetsift.operators.joins import newest_n
 from fleetsift.operators.ruleset import live_rules, pick_sources
+from fleetsift.plans.anchors import file_rules
 from fleetsift.plans.rules import Options, Rule, RuleError, compile_rule, regexes
 from fleetsift.schemas import FINDING_COLUMNS, RULE_ERRORS, SOURCES, Source
 
 COMPILED_TESTS = 40
 # Pair ids are (number of the rule file in a source) * FILE_STRIDE + (position of the rule in the file).
 FILE_STRIDE = 1_000_000
-KEPT = ["host", "log_name", "event_id", "record_id", "time_created", "event_data"]
+KEPT = ["host", "log_name", "event_id", "record_id", "time_created"]
+# Logical fields and payload names that findings report.
+REPORTED = {
+    "User": (["User"], ["subjectusername", "targetusername"]),
+    "CommandLine": (["CommandLine", "ScriptBlockText", "Payload"], []),
+    "Process": (["Image", "ImageLoaded"], []),
+}
 SYSTEM_COLUMNS = {"eventid": "event_id", "channel": "log_name", "providername": "provider"}
 
 
@@ -63,12 +70,26 @@ def field_sql(source: Source, name: str) -> tuple[str, str] | None:
     if mapping is None:
         return None
     kind, target = mapping[0].lower(), mapping[1].lower()
+    if kind == "column":
+        # a payload value with a column of its own, which the reader can leave out
+        return f"col:{target}", f"cast({identifier(target)} AS string)"
     if kind == "system":
         column = SYSTEM_COLUMNS.get(target)
         return (f"sys:{target}", f"cast({column} AS string)") if column else None
     return (f"data:{target}", payload_sql(target)) if kind == "eventdata" else None
 
 
+def identifier(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def payload_columns(source: Source, fields: Iterable[str]) -> list[str]:
+    """Columns of their own that hold some of the logical fields, in lower case."""
+    refs = {f.lower(): ref for f, ref in source.field_map.items()}
+    found = [refs[f.lower()] for f in fields if f.lower() in refs]
+    return [target.lower() for kind, target in found if kind.lower() == "column"]
+
+
 def payload_sql(name: str) -> str:
     """A payload value by name, in lower case."""
     return f"event_data[{quoted(name)}]"
@@ -97,6 +118,7 @@ class ScanColumns:
         self.views: dict[str, str] = {}
         self.literals: dict[str, dict[str, int]] = {}
         self.indexed: frozenset[str] = frozenset()
+        self.filed: dict[str, dict[str, list[int]]] = {}
 
     def index(self) -> None:
         """Choose the views with enough literals for an index; rules compiled from now on use it."""
@@ -109,6 +131,20 @@ class ScanColumns:
             for alias in sorted(self.indexed)
         })
 
+    def waiting(self) -> str:
+        """The ids of the rules that an event holds an anchor of, as an array in SQL."""
+        found = []
+        for alias, filed in sorted(self.filed.items()):
+            known = self.literals[alias]
+            ids = [f"array({', '.join(f'{i}L' for i in filed.get(literal, ()))})" for literal in known]
+            if alias in self.indexed:
+                table = f"cast(array({', '.join(ids)}) AS array<array<bigint>>)"
+                found.append(f"flatten(transform(`{alias}#ids`, k -> {table}[k]))")
+            else:
+                flags = (f"CASE WHEN contains(`{alias}`, {quoted(x)}) THEN {own} END" for x, own in zip(known, ids) if x in filed)
+                found.append(f"flatten(array_compact(array({', '.join(flags)})))")
+        return f"array_distinct(concat({', '.join(found)}))"
+
 
 class _Projected(Views):
     """Views that become columns of the scan, shared by all rules that read the same field."""
@@ -218,28 +254,82 @@ def _hit_array(tests: list[tuple[int, str]]) -> str:
     return f"array_compact(array({flags}))"
 
 
+def _dispatch(tests: list[tuple[int, str]]) -> str:
+    """The test of pair ``p`` among tests in the order of their ids, found by halving."""
+    if len(tests) == 1:
+        return f"(p = {tests[0][0]}L AND {tests[0][1]})"
+    half = len(tests) // 2
+    return f"CASE WHEN p < {tests[half][0]}L THEN {_dispatch(tests[:half])} ELSE {_dispatch(tests[half:])} END"
+
+
+def _of_source(source: Source, sources: list[Source], test: str, otherwise: str) -> str:
+    """``test`` for the events of one of several sources of a log."""
+    if len(sources) == 1 or not source.event_ids:
+        return test
+    return f"CASE WHEN event_id IN ({', '.join(str(i) for i in source.event_ids)}) THEN {test} ELSE {otherwise} END"
+
+
+def _file_anchors(sources: list[Source], plan: ScanPlan, scan: ScanColumns) -> tuple[set[int], set[int]]:
+    """File the rules of a log under their anchors; the ids of the rules that wait for one, and of those that always run."""
+    waiting, always = set(), set()
+    for source in sources:
+        def alias_of(name: str | None, view: str) -> str | None:
+            found = ("raw", raw_sql()) if name is None else field_sql(source, name)
+            if found is None:
+                return None
+            _Projected(*found, scan).get(view)
+            return f"{found[0]}#{view}"
+
+        filed, rest = file_rules(plan.pairs_of(source), plan.options, alias_of)
+        always.update(rest)
+        for alias, literals in filed.items():
+            known, own = scan.literals.setdefault(alias, {}), scan.filed.setdefault(alias, {})
+            for literal, ids in literals.items():
+                known.setdefault(literal, len(known))
+                own.setdefault(literal, []).extend(ids)
+                waiting.update(ids)
+    return waiting, always
+
+
 def _scan_log(events: DataFrame, sources: list[Source], plan: ScanPlan) -> DataFrame:
-    """The events of one log that some rule of its sources hits, with the ids of the pairs as ``_hits``."""
+    """The events of one log that some rule of its sources hits, with the ids of the pairs as ``_hits``.
+
+    Up to ``COMPILED_TESTS`` rules are tests in generated code. Of more rules, those with anchors wait for them: one pass per field finds
+    the anchors and the other literals of all rules of the log, and an event evaluates the rules it holds an anchor of, each found by
+    its id. The others always run.
+    """
     scan = ScanColumns()
+    pairs = [(i, source, rule) for source in sources for i, rule in plan.pairs_of(source)]
+    waiting, always = _file_anchors(sources, plan, scan) if len(pairs) > COMPILED_TESTS else (set(), {i for i, _, _ in pairs})
 
-    def compiled(source: Source) -> list[tuple[int, str]]:
-        return [(i, compile_rule(rule, *_views_for(source, scan), plan.options)) for i, rule in plan.pairs_of(source)]
+    def compiled() -> dict[int, str]:
+        return {i: compile_rule(rule, *_views_for(source, scan), plan.options) for i, source, rule in pairs if i in waiting or i in always}
 
-    for source in sources:
-        compiled(source)
+    compiled()
     scan.index()
-    per_source = []
+    tests, hits = compiled(), []
+    if waiting:
+        own = [(i, _of_source(source, sources, tests[i], "false")) for i, source, _ in pairs if i in waiting]
+        hits.append(f"filter({scan.waiting()}, p -> {_dispatch(sorted(own))})")
     for source in sources:
-        hits = _hit_array(compiled(source))
-        if len(sources) > 1 and source.event_ids:
-            ids = ", ".join(str(i) for i in source.event_ids)
-            hits = f"CASE WHEN event_id IN ({ids}) THEN {hits} ELSE cast(array() AS array<bigint>) END"
-        per_source.append(F.expr(hits))
-    hits = per_source[0] if len(per_source) == 1 else F.concat(*per_source)
+        run = [(i, tests[i]) for i, _ in plan.pairs_of(source) if i in always]
+        if run:
+            hits.append(_of_source(source, sources, _hit_array(run), "cast(array() AS array<bigint>)"))
+    together = hits[0] if len(hits) == 1 else f"concat({', '.join(hits)})" if hits else "cast(array() AS array<bigint>)"
     # As the output of an outer explode, the array is made once per event; a plain filter on it would be pushed down
     # and run all rules a second time.
-    made = F.explode_outer(F.array(hits)).alias("_hits")
-    return scan.project(events, KEPT).select(*KEPT, made).filter(F.size("_hits") > 0)
+    made = F.explode_outer(F.array(F.expr(f"sort_array({together})" if waiting else together))).alias("_hits")
+    kept = _kept(events, sources)
+    return scan.project(events, kept).select(*kept, made).filter(F.size("_hits") > 0)
+
+
+def _kept(events: DataFrame, sources: list[Source]) -> list[str]:
+    """What findings are made of: the payload as a map if there is one, and reported fields with columns of their own."""
+    wanted = [f for fields, _ in REPORTED.values() for f in fields]
+    own = dict.fromkeys(c for s in sources for c in payload_columns(s, wanted))
+    names = {c.lower(): c for c in events.columns}
+    mapped = any(kind.lower() == "eventdata" for s in sources for kind, _ in s.field_map.values())
+    return [*KEPT, *(["event_data"] if mapped and "event_data" in events.columns else []), *(names[c] for c in own if c in names)]
 
 
 def _by_log(plan: ScanPlan) -> dict[str, list[Source]]:
@@ -250,10 +340,13 @@ def _by_log(plan: ScanPlan) -> dict[str, list[Source]]:
     return logs
 
 
-def _first_present(source: Source, fields: list[str], payload: list[str] = ()) -> Column:
+def _first_present(hits: DataFrame, source: Source, column: str) -> Column:
     """First non-missing of some logical fields, then of some payload names, else "N/A"; an empty string counts."""
-    found = [field_sql(source, f) for f in fields]
-    values = [f[1] for f in found if f] + [payload_sql(p) for p in payload]
+    fields, payload = REPORTED[column]
+    here = {c.lower() for c in hits.columns}
+    found = [f for f in (field_sql(source, name) for name in fields) if f]
+    values = [sql for key, sql in found if key[4:] in here or not key.startswith("col:") and "event_data" in here or key.startswith("sys:")]
+    values += [payload_sql(p) for p in payload if "event_data" in here]
     return F.expr(f"coalesce({', '.join([*values, quoted('N/A')])})")
 
 
@@ -278,9 +371,7 @@ def project_finding(hits: DataFrame, plan: ScanPlan, extra: list[str] = ()) -> D
         "RuleTitle", "RuleLevel", "RuleTags",
         F.col("event_id").alias("EventId"), F.col("log_name").alias("LogName"),
         F.date_format("time_created", "yyyy-MM-dd HH:mm:ss").alias("TimeCreated"),
-        per_source(lambda s: _first_present(s, ["User"], ["subjectusername", "targetusername"])).alias("User"),
-        per_source(lambda s: _first_present(s, ["CommandLine", "ScriptBlockText", "Payload"])).alias("CommandLine"),
-        per_source(lambda s: _first_present(s, ["Image", "ImageLoaded"])).alias("Process"),
+        *(per_source(lambda s, c=c: _first_present(hits, s, c)).alias(c) for c in REPORTED),
         "RuleFile", *extra,
     )
 
@@ -314,7 +405,7 @@ def hit_events(
             scans.append(_scan_log(candidates, group, plan))
     if not scans:
         return event_log.limit(0).select(*KEPT, F.array().cast("array<bigint>").alias("_hits"))
-    return reduce(DataFrame.unionByName, scans)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def detect_hits(
@@ -322,7 +413,7 @@ def detect_hits(
 ) -> DataFrame:
     """(event, pair) rows."""
     events = hit_events(event_log, plan, as_of, days_back, max_events_per_source)
-    return events.select(*KEPT, F.explode("_hits").alias("_pair"))
+    return events.select(*[c for c in events.columns if c != "_hits"], F.explode("_hits").alias("_pair"))
 
 
 def dedup_hits(events: DataFrame, shared_files: bool = True) -> DataFrame:
@@ -338,11 +429,12 @@ def dedup_hits(events: DataFrame, shared_files: bool = True) -> DataFrame:
     hits = F.col("_hits")
     if shared_files:
         hits = F.filter(hits, lambda pair, i: (i == 0) | (file_of(F.get("_hits", i - 1)) != file_of(pair)))
-    entries = F.sort_array(F.map_entries("event_data"))
+    # a map cannot be compared, its sorted entries can
+    payload = {c: F.sort_array(F.map_entries(c)) if c == "event_data" else F.col(c) for c in events.columns if c not in (*KEPT, "_hits")}
     record = ["host", "log_name", "_record"]
     newest = events.select(
         "host", "log_name", F.coalesce(F.col("record_id"), F.col("event_id").cast("long")).alias("_record"),
-        hits.alias("_hits"), F.struct("time_created", "event_id", entries.alias("entries")).alias("_row"),
+        hits.alias("_hits"), F.struct("time_created", "event_id", *(value.alias(c) for c, value in payload.items())).alias("_row"),
     ).groupBy(*record, "_hits").agg(F.max("_row").alias("_row"))
     before = Window.partitionBy(*record).orderBy(F.col("_row").desc()).rowsBetween(Window.unboundedPreceding, -1)
     if shared_files:
@@ -353,7 +445,8 @@ def dedup_hits(events: DataFrame, shared_files: bool = True) -> DataFrame:
         left = newest.withColumn("_hits", F.array_except("_hits", F.flatten(F.collect_list("_hits").over(before))))
     return left.select(
         "host", "log_name", F.col("_row.event_id").alias("event_id"), F.col("_record").alias("record_id"),
-        F.col("_row.time_created").alias("time_created"), F.map_from_entries("_row.entries").alias("event_data"),
+        F.col("_row.time_created").alias("time_created"),
+        *((F.map_from_entries("_row.event_data") if c == "event_data" else F.col(f"_row.{c}")).alias(c) for c in payload),
         F.explode("_hits").alias("_pair"),
     )
 

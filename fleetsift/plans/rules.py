@@ -95,11 +95,11 @@ def rules_from_df(meta: DataFrame, limit: int = 200_000) -> list[Rule]:
     ]
 
 
-def _kind(node) -> str:
+def kind_of(node) -> str:
     return str(node.get("type", "")).lower() if isinstance(node, dict) else ""
 
 
-def _children(node: dict) -> list:
+def child_nodes(node: dict) -> list:
     if "children" not in node:
         return [None]
     children = node["children"]
@@ -119,13 +119,13 @@ def field_nodes(rule: Rule) -> list[dict]:
     while stack:
         node = stack.pop()
         if isinstance(node, dict):
-            if _kind(node) in ("field", "raw"):
+            if kind_of(node) in ("field", "raw"):
                 found.append(node)
-            stack += [node.get("child"), *_children(node)]
+            stack += [node.get("child"), *child_nodes(node)]
     return found
 
 
-def _folds(node: dict) -> bool:
+def folds(node: dict) -> bool:
     """Whether a matcher ignores case; an absent or null flag means yes."""
     flag = node.get("ignore_case")
     return True if flag is None else bool(flag)
@@ -137,10 +137,10 @@ def regexes(rules: Iterable[Rule]) -> list[str]:
     for rule in rules:
         for node in field_nodes(rule):
             if str(node.get("operator", "")).lower() == "re":
-                windash = bool(node.get("windash")) and _kind(node) == "field"
+                windash = bool(node.get("windash")) and kind_of(node) == "field"
                 for value in _strings(node.get("values")):
                     for variant in windash_values(value, windash):
-                        out[java_regex(variant, _folds(node))] = None
+                        out[java_regex(variant, folds(node))] = None
     return list(out)
 
 
@@ -164,11 +164,11 @@ def compile_expression(
             raise RuleError(f"item {name!r} refers to itself")
         return go(by_name[key], (*_open, key)) if key in by_name else "false"
 
-    kind = _kind(node)
+    kind = kind_of(node)
     if kind == "all":
-        return all_of(go(c) for c in _children(node))
+        return all_of(go(c) for c in child_nodes(node))
     if kind == "any":
-        return any_of(go(c) for c in _children(node))
+        return any_of(go(c) for c in child_nodes(node))
     if kind == "not":
         if node.get("child") is None and warnings is not None:
             warnings.append("'not' without 'child' is always true")
@@ -190,7 +190,7 @@ def compile_expression(
             raw_views() if is_raw else views_of(str(node.get("field", ""))), operator,
             values=node.get("values"), match=node.get("match") or "any",
             windash=bool(node.get("windash")) and not is_raw,
-            ignore_case=_folds(node), keep_empty=is_raw,
+            ignore_case=folds(node), keep_empty=is_raw,
             honour_escapes=options.honour_escapes, singleline=options.singleline, rejected=options.rejected,
         )
     return "false"
@@ -214,11 +214,11 @@ def inject_values(rule: Rule, item: str, values: Iterable[str]) -> Rule:
     def add(node):
         if not isinstance(node, dict):
             return node
-        if _kind(node) in ("field", "raw"):
+        if kind_of(node) in ("field", "raw"):
             return {**node, "values": list(dict.fromkeys([*(node.get("values") or []), *extra]))}
         out = dict(node)
         if "children" in node:
-            out["children"] = [add(c) for c in _children(node)]
+            out["children"] = [add(c) for c in child_nodes(node)]
         if "child" in node:
             out["child"] = add(node["child"])
         return out
