@@ -22,7 +22,7 @@ MAX_LITERAL_BYTES = 16 << 20
 
 # Automata of this worker process by the digest of their literals; a task finds those that earlier tasks have built.
 _BUILT: dict[str, ahocorasick.Automaton] = {}
-_MOST_BUILT = 8
+_MOST_KEPT = 2 * MAX_LITERALS
 
 
 def can_ship(literals: list[str]) -> bool:
@@ -37,7 +37,7 @@ def can_index(literals: list[str]) -> bool:
 
 def _automaton(digest: str, literals: list[str]) -> ahocorasick.Automaton:
     if digest not in _BUILT:
-        if len(_BUILT) >= _MOST_BUILT:
+        if sum(map(len, _BUILT.values())) + len(literals) > _MOST_KEPT:
             _BUILT.clear()
         automaton = ahocorasick.Automaton()
         for i, literal in enumerate(literals):

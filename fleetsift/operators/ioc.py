@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsift.functions.literals import MAX_LITERAL_BYTES, MAX_LITERALS, can_ship, literal_ids
+from fleetsift.functions.matching import text as matching_text
+from fleetsift.operators.detect import field_sql
 from fleetsift.operators.joins import is_small, lookup, salted_join
 from fleetsift.operators.logs import days_before
-from fleetsift.schemas import FINDING_COLUMNS
+from fleetsift.plans.rules import Rule, folds, inject_values, kind_of, map_matchers
+from fleetsift.schemas import FINDING_COLUMNS, Source
 
 BROWSERS = ["chrome.exe", "msedge.exe", "firefox.exe", "iexplore.exe", "opera.exe", "brave.exe"]
 # Download verbs of the documented script rule.
@@ -18,6 +22,11 @@ DOWNLOAD_VERBS = ["DownloadString", "DownloadFile", "WebClient", "Invoke-WebRequ
 EXECUTABLE_CAPTURES = ["ps", "services", "systemctl", "cron", *[f"p{i}" for i in range(1, 10)]]
 SHELL_CAPTURES = ["ps", "cron", *[f"p{i}" for i in range(1, 10)], "bashrc"]
 GRAM = 6
+# Lists a long one is cut into, each searched for in a pass over the rows; beyond, the join by grams moves less.
+MAX_SHARDS = 8
+# Of the filter before that join: one bit in sixteen is set at most; words of 64 bits that may be broadcast.
+BITS_PER_GRAM = 16
+MAX_FILTER_WORDS = 4 << 20
 
 
 # --- lists ------------------------------------------------------------------------------------------------------------
@@ -31,7 +40,7 @@ def driver_list(indicators: DataFrame, rows: int = MAX_LITERALS, size: int = MAX
     """The distinct indicators as a Python list, to be compiled into a rule; refuses a list beyond the limits."""
     distinct = indicators.select("indicator").distinct()
     if not is_small(distinct, rows, size):
-        raise ValueError(f"more than {rows} indicators: match them with match_literals instead of a rule")
+        raise ValueError(f"more than {rows} indicators: match them with match_literals, or add them to a rule with inject_indicators")
     return sorted(r.indicator for r in distinct.collect() if r.indicator)
 
 
@@ -169,25 +178,45 @@ def _gram_join(rows: DataFrame, text: str, indicators: DataFrame) -> DataFrame:
 def _maybe_filed(pieces: DataFrame, anchors: DataFrame) -> DataFrame:
     """The grams that share a bit with an anchor's, the others dropped before any row moves; all true ones stay.
 
-    The bits are at most ``2**16`` words of 64, so that they may be broadcast whatever the length of the list.
+    There are at least ``BITS_PER_GRAM`` bits for each gram, so that a long list fills no more of them than a short one. The words of
+    64 bits are counted before they are broadcast; beyond the limit the grams move untested.
     """
-    slot = F.pmod(F.xxhash64("_gram"), F.lit(1 << 22))
+    grams_filed = anchors.select("_gram").distinct().count()
+    bits = 1 << max(16, (BITS_PER_GRAM * grams_filed - 1).bit_length())
+    slot = F.pmod(F.xxhash64("_gram"), F.lit(bits))
     word, mask = F.floor(slot / 64).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-    bits = anchors.select(word, mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
-    tested = pieces.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(bits), "_word")
+    if min(bits // 64, grams_filed) > MAX_FILTER_WORDS:
+        return pieces
+    words = anchors.select(word, mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    tested = pieces.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(words), "_word")
     return tested.filter(F.col("_bits").bitwiseAND(F.col("_mask")) != 0).select(*pieces.columns)
 
 
-def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str], max_shipped: int = MAX_LITERALS) -> DataFrame:
+def match_literals(
+    rows: DataFrame, text: str, indicators: DataFrame | list[str], max_shipped: int = MAX_LITERALS, max_shards: int = MAX_SHARDS
+) -> DataFrame:
     """One row per (row, indicator contained in its text), ignoring case.
 
-    A list whose size is checked travels to the tasks and is searched in one pass; a longer one is joined by grams.
+    A list whose size is checked travels to the tasks and is searched in one pass. A longer one is cut in up to ``max_shards`` such lists
+    by the hash of the indicator, and the rows, which do not move, are searched once for each. Beyond that, rows and indicators are
+    joined by grams.
     """
-    if isinstance(indicators, DataFrame):
-        distinct = indicators.select("indicator").distinct()
-        if not is_small(distinct, max_shipped, MAX_LITERAL_BYTES):
-            return _gram_join(rows, text, distinct)
-        indicators = driver_list(distinct, max_shipped)
+    if not isinstance(indicators, DataFrame):
+        return _search_shipped(rows, text, indicators)
+    distinct = indicators.select("indicator").filter(F.col("indicator") != "").distinct()
+    if is_small(distinct, max_shipped, MAX_LITERAL_BYTES):
+        return _search_shipped(rows, text, driver_list(distinct, max_shipped))
+    size = distinct.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.lower("indicator"))).alias("b")).first()
+    # filled to four fifths, as a hash does not deal evenly
+    shards = -(-5 * max(-(-size.n // max_shipped), -(-size.b // MAX_LITERAL_BYTES)) // 4)
+    if shards > max_shards:
+        return _gram_join(rows, text, distinct)
+    shard = F.pmod(F.xxhash64(F.lower("indicator")), F.lit(shards))
+    lists = ([r.indicator for r in distinct.filter(shard == k).collect()] for k in range(shards))
+    return reduce(DataFrame.unionByName, [_search_shipped(rows, text, listed) for listed in lists])
+
+
+def _search_shipped(rows: DataFrame, text: str, indicators: list[str]) -> DataFrame:
     spelled: dict[str, list[str]] = {}
     for indicator in dict.fromkeys(i for i in indicators if i):
         spelled.setdefault(indicator.lower(), []).append(indicator)
@@ -204,6 +233,67 @@ def match_literals(rows: DataFrame, text: str, indicators: DataFrame | list[str]
     return hit.join(F.broadcast(names), "_id").drop("_id")
 
 
+# --- lists in rules ---------------------------------------------------------------------------------------------------
+
+_TEXT_TESTS = ("contains", "exact", "startswith", "endswith")
+
+
+def matched_values(values: DataFrame, indicators: DataFrame, operator: str, fold: bool) -> DataFrame:
+    """The distinct non-empty ``value`` rows that some ``indicator`` matches literally, for lists of any length."""
+    listed = indicators.select("indicator").filter(F.col("indicator") != "").distinct()
+    if operator == "contains":
+        met = match_literals(values, "value", listed)
+        return (met if fold else met.filter(F.contains("value", F.col("indicator")))).select("value").distinct()
+    form = F.lower if fold else F.col
+    keys = listed.select(form("indicator").alias("_key")).distinct()
+    if operator == "exact":
+        return lookup(values.withColumn("_key", form("value")), keys, ["_key"], "left_semi").select("value").distinct()
+    # one key per length that an indicator has, cut off the value's start or end
+    lengths = [r.n for r in keys.select(F.length("_key").alias("n")).distinct().collect()]
+    cut = F.left if operator == "startswith" else F.right
+    parts = F.array_distinct(F.array(*[cut(form("value"), F.lit(n)) for n in lengths] or [F.lit("")]))
+    return lookup(values.withColumn("_key", F.explode(parts)), keys, ["_key"], "left_semi").select("value").distinct()
+
+
+def inject_indicators(
+    events: DataFrame, rule: Rule, item: str, indicators: DataFrame, source: Source, max_compiled: int = MAX_LITERALS
+) -> tuple[DataFrame, Rule, Source]:
+    """Add indicators to a named item of a rule, as ``inject_values`` does, for a list of any length.
+
+    A list of at most ``max_compiled`` entries becomes operands. Beyond that each matcher of the item gets an alternative: a column of the
+    events that a join of the field's distinct values with the list sets. Indicators with wildcards stay operands, so
+    that they keep their meaning; there may be ``max_compiled`` of them. Scan the returned events with the returned rule and source.
+    """
+    listed = indicators.select("indicator").distinct()
+    if is_small(listed, max_compiled, MAX_LITERAL_BYTES):
+        return events, inject_values(rule, item, driver_list(listed, max_compiled)), source
+    wild = F.col("indicator").rlike(r"[*?]")
+    flags: dict[tuple[str, str, bool], str] = {}
+
+    def alternative(node: dict) -> dict:
+        operator = str(node.get("operator", "")).lower()
+        if kind_of(node) != "field" or operator not in _TEXT_TESTS or node.get("windash") or str(node.get("match") or "any").lower() == "all":
+            raise ValueError("a list beyond the operand limit needs plain field matchers of which any value may match")
+        key = (str(node.get("field", "")), operator, folds(node))
+        name = flags.setdefault(key, f"_listed_{len(flags)}")
+        return {"type": "any", "children": [node, {"type": "field", "field": name, "operator": "exact", "values": ["true"]}]}
+
+    items = {name: map_matchers(tree, alternative) if str(name).lower() == item.lower() else tree for name, tree in rule.items.items()}
+    for (field, operator, fold), name in flags.items():
+        found = field_sql(source, field)
+        if not found:
+            events = events.withColumn(name, F.lit("false"))
+            continue
+        mine = F.col("log_name") == source.log_name
+        value = F.when(mine, F.expr(matching_text(found[1])))
+        values = events.select(value.alias("value")).filter(F.col("value") != "").distinct()
+        hit = matched_values(values, listed.filter(~wild), operator, fold).select(F.sha2(F.col("value").cast("binary"), 256).alias("_key"), F.lit("true").alias(name))
+        events = lookup(events.withColumn("_key", F.sha2(value.cast("binary"), 256)), hit, ["_key"], "left").drop("_key") \
+            .withColumn(name, F.coalesce(name, F.lit("false")))
+    source = replace(source, field_map={**source.field_map, **{name: ("column", name) for name in flags.values()}})
+    return events, inject_values(replace(rule, items=items), item, driver_list(listed.filter(wild), max_compiled), skip=set(flags.values())), source
+
+
 def ioc_text_match(captures: DataFrame, indicators: DataFrame | list[str], only: list[str] | None = None) -> DataFrame:
     """Distinct (host, indicator, source, line) rows of captured lines that contain an indicator."""
     lines = captures.filter(F.col("capture").isin(only)) if only is not None else captures

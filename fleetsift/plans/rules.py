@@ -207,22 +207,29 @@ def compile_rule(
         raise RuleError(f"unknown operator {failure}") from failure
 
 
-def inject_values(rule: Rule, item: str, values: Iterable[str]) -> Rule:
-    """Add indicator values to a named item of a rule (to the item itself or to the matchers inside it)."""
+def map_matchers(node, change: Callable[[dict], dict]):
+    """A tree with each field and raw matcher changed."""
+    if not isinstance(node, dict):
+        return node
+    if kind_of(node) in ("field", "raw"):
+        return change(node)
+    out = dict(node)
+    if "children" in node:
+        out["children"] = [map_matchers(c, change) for c in child_nodes(node)]
+    if "child" in node:
+        out["child"] = map_matchers(node["child"], change)
+    return out
+
+
+def inject_values(rule: Rule, item: str, values: Iterable[str], skip: set[str] = frozenset()) -> Rule:
+    """Add indicator values to a named item of a rule (to the item itself or to the matchers inside it, except of fields to ``skip``)."""
     extra = list(values)
 
-    def add(node):
-        if not isinstance(node, dict):
+    def add(node: dict) -> dict:
+        if node.get("field") in skip:
             return node
-        if kind_of(node) in ("field", "raw"):
-            return {**node, "values": list(dict.fromkeys([*(node.get("values") or []), *extra]))}
-        out = dict(node)
-        if "children" in node:
-            out["children"] = [add(c) for c in child_nodes(node)]
-        if "child" in node:
-            out["child"] = add(node["child"])
-        return out
+        return {**node, "values": list(dict.fromkeys([*(node.get("values") or []), *extra]))}
 
     return replace(rule, items={
-        name: add(tree) if str(name).lower() == item.lower() else tree for name, tree in rule.items.items()
+        name: map_matchers(tree, add) if str(name).lower() == item.lower() else tree for name, tree in rule.items.items()
     })
