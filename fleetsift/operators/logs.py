@@ -5,9 +5,10 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetsift.operators.history import LINES_PER_CHUNK
 from fleetsift.operators.joins import lookup, salted_join
 
 SYSTEM_ACCOUNTS = ["Guest", "Shared"]
@@ -25,6 +26,24 @@ def days_before(df: DataFrame, column: str, as_of: str, days: int) -> Column:
 
 _ISO = r"\A(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})(?:[.,]\d+)?(?:(Z)|([+-]\d{2}):?(\d{2}))?"
 _SYSLOG = r"\A([A-Z][a-z]{2}) +(\d{1,2}) (\d{2}:\d{2}:\d{2})\b"
+#: A year with every day of the calendar.
+LEAP_YEAR = 2000
+
+
+def _iso_time(line: Column) -> Column:
+    def part(group: int) -> Column:
+        return F.regexp_extract(line, _ISO, group)
+
+    offset = F.when(part(4) != "", F.concat(part(4), F.lit(":"), part(5))).otherwise(part(3))
+    return F.when(line.rlike(_ISO), F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), offset)))
+
+
+def _classic_time(line: Column, year: int) -> Column:
+    def part(group: int) -> Column:
+        return F.regexp_extract(line, _SYSLOG, group)
+
+    text = F.concat_ws(" ", F.lit(f"{year:04d}"), part(1), F.lpad(part(2), 2, "0"), part(3))
+    return F.when(line.rlike(_SYSLOG), F.try_to_timestamp(text, F.lit("yyyy MMM dd HH:mm:ss")))
 
 
 def line_time(line: Column, year: int | None = None) -> Column:
@@ -33,39 +52,81 @@ def line_time(line: Column, year: int | None = None) -> Column:
     An offset counts if it is written; other times are in the session's time zone. Classic syslog times, which have no
     year, are read in ``year``, and are NULL without one.
     """
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(line, pattern, group)
+    found = _iso_time(line)
+    return found if year is None else F.coalesce(found, _classic_time(line, year))
+
+
+def with_line_time(lines: DataFrame, as_of: str | None = None, keys: list[str] = ("file",), position: str = "line_no", into: str = "time") -> DataFrame:
+    """Lines with the time they start with as ``into``; the year of classic syslog times is inferred along each file.
 
-    offset = F.when(part(_ISO, 4) != "", F.concat(part(_ISO, 4), F.lit(":"), part(_ISO, 5))).otherwise(part(_ISO, 3))
-    found = F.try_to_timestamp(F.concat(part(_ISO, 1), F.lit(" "), part(_ISO, 2), offset))
-    if year is None:
-        return found
-    classic = F.concat_ws(" ", F.lit(f"{year:04d}"), part(_SYSLOG, 1), F.lpad(part(_SYSLOG, 2), 2, "0"), part(_SYSLOG, 3))
-    return F.coalesce(found, F.try_to_timestamp(classic, F.lit("yyyy MMM dd HH:mm:ss")))
+    A log is written in the order of time, so where the date falls by more than a day from one timed line to the next, a year has
+    passed; a smaller step back is a late line. The file's last timed line lies at most a day, the tolerance for clocks and
+    zones, after the file's last change, the latest ``mtime`` of its lines, or else after ``as_of``. Without either, and for a date that
+    the year does not have, the time is NULL. ``keys`` tell files apart and ``position`` orders their lines.
+
+    Positions are cut in chunks as in ``carry_forward``: falls are counted within a chunk, and one row per chunk carries their number on. So a long
+    file is spread over many tasks.
+    """
+    marked = lines.withColumns({"_iso": _iso_time(F.col("line")), "_classic": _classic_time(F.col("line"), LEAP_YEAR),
+                                "_chunk": F.floor(F.col(position) / LINES_PER_CHUNK)})
+    marked = marked.withColumn("_day", F.coalesce("_classic", _in_year(F.lit(LEAP_YEAR), F.col("_iso"))))
+    within = Window.partitionBy(*keys, "_chunk").orderBy(position)
+    before = F.last("_day", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    counted = marked.withColumn("_fell", _fell(before, F.col("_day"))).withColumn(
+        "_falls", F.sum("_fell").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.max("mtime").cast("timestamp") if "mtime" in lines.columns else F.lit(None).cast("timestamp")
+    at = F.when(F.col("_day").isNotNull(), F.col(position))
+    chunks = counted.groupBy(*keys, "_chunk").agg(
+        F.sum("_fell").alias("_inside"), F.min_by("_day", at).alias("_first"), F.max_by("_day", at).alias("_last"), changed.alias("_changed"))
+    along, whole = Window.partitionBy(*keys).orderBy("_chunk"), Window.partitionBy(*keys)
+    earlier = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.withColumn("_own", F.col("_inside") + _fell(earlier, F.col("_first"))).withColumn(
+        "_start", F.sum("_own").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inside"))
+    last_day = F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    anchor = F.coalesce(F.max("_changed").over(whole), F.lit(as_of).cast("timestamp")) + F.expr("INTERVAL 1 DAY")
+    beyond = (F.date_format(last_day, "MMdd HHmmss") > F.date_format(anchor, "MMdd HHmmss")).cast("int")
+    years = chunks.withColumn("_year", F.year(anchor) - beyond - F.sum("_own").over(whole) + F.col("_start")).select(*keys, "_chunk", "_year")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "_chunk")]
+    placed = counted.alias("a").join(years.alias("b"), reduce(lambda x, y: x & y, same)).select("a.*", "b._year")
+    classic = _in_year((F.col("_year") + F.col("_falls")).cast("int"), F.col("_classic"))
+    return placed.withColumn(into, F.coalesce("_iso", classic)).drop("_iso", "_classic", "_day", "_chunk", "_fell", "_falls", "_year")
+
+
+def _in_year(year: Column, moment: Column) -> Column:
+    return F.try_make_timestamp(year, F.month(moment), F.dayofmonth(moment), F.hour(moment), F.minute(moment), F.second(moment))
+
+
+def _fell(before: Column, day: Column) -> Column:
+    """1 if the date falls by more than a day, -1 if it rises by all but a year (a late line of the last day of the year before), else 0."""
+    return F.when(before > day + F.expr("INTERVAL 1 DAY"), 1).when(day > before + F.expr("INTERVAL 363 DAYS"), -1).otherwise(0).cast("long")
 
 
 def timeline_range(
     lines: DataFrame, start: str, end: str, files: list[str] | None = LOG_FILES, lexicographic: bool = False,
-    year: int | None = None,
+    year: int | None = None, as_of: str | None = None,
 ) -> DataFrame:
     """Lines of the chosen log files from ``start`` to ``end``, both included.
 
     ``lexicographic`` compares whole lines with the two bounds as text instead of reading their time. A line whose time
-    has no year is read in ``year``, or else in each year of the range. Lines without a time are left out;
-    ``untimed_lines`` counts them.
+    has no year is read in ``year`` if it is given; else, if lines are numbered (``line_no``), in the year that ``with_line_time`` infers along its
+    file (and ``host``), from ``mtime`` or ``as_of``. Lines without a number have no place in a file; they are read in each year of the range.
+    Lines without a time are left out; ``untimed_lines`` counts them.
     """
     chosen = lines.filter(F.col("file").isin(files)) if files is not None else lines
     if lexicographic:
         return chosen.filter((F.col("line") >= start) & (F.col("line") <= end))
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    if year is None and "line_no" in lines.columns:
+        timed = with_line_time(chosen, as_of, [c for c in ("host", "file") if c in lines.columns], into="_time")
+        return timed.filter(F.col("_time").between(first, last)).drop("_time")
     years = [year] if year is not None else range(datetime.fromisoformat(start).year, datetime.fromisoformat(end).year + 1)
-    return chosen.filter(reduce(lambda a, b: a | b, [
-        F.coalesce(line_time(F.col("line"), y).between(first, last), F.lit(False)) for y in years], F.lit(False)))
+    classic = reduce(lambda a, b: a | b, [_classic_time(F.col("line"), y).between(first, last) for y in years], F.lit(False))
+    return chosen.filter(F.coalesce(_iso_time(F.col("line")).between(first, last), classic, F.lit(False)))
 
 
 def untimed_lines(lines: DataFrame) -> DataFrame:
     """Per log file: all lines, and those whose time cannot be read. The year 2000 has every day of the calendar."""
-    untimed = line_time(F.col("line"), 2000).isNull()
+    untimed = line_time(F.col("line"), LEAP_YEAR).isNull()
     return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(untimed).alias("untimed"))
 
 

@@ -15,6 +15,24 @@ def timeline_range(spark, d):
     return logs.timeline_range(t.log_lines(spark, d), "2024-01-05 06:00:00", "2024-01-12 18:30:00").select("event_id", "file", "line")
 
 
+# Orders as lines of four logs over all their years: a third with ISO times, a third with an offset, a third classic without a year.
+_MOMENT = "o_orderdate + to_seconds(o_orderkey * 7919 % 86400)"
+
+
+@query("timeline_years", f"SELECT o_orderkey FROM orders WHERE {_MOMENT} BETWEEN TIMESTAMP '1995-11-20 06:00:00' AND TIMESTAMP '1996-02-10 18:30:00'")
+def timeline_years(spark, d):
+    key, moment = F.col("o_orderkey"), F.expr("cast(o_orderdate AS timestamp) + make_dt_interval(0, 0, 0, o_orderkey * 7919 % 86400)")
+    orders = t.table(spark, d, "orders").select(key, moment.alias("ts"))
+    style = key % 3
+    written = F.when(style == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")) \
+        .when(style == 1, F.date_format(F.col("ts") + F.expr("INTERVAL 5 HOURS"), "yyyy-MM-dd'T'HH:mm:ss'+05:00'")) \
+        .otherwise(F.concat(F.date_format("ts", "MMM "), F.lpad(F.dayofmonth("ts").cast("string"), 2, " "), F.date_format("ts", " HH:mm:ss")))
+    lines = orders.select("o_orderkey", F.element_at(F.array(*[F.lit(f) for f in logs.LOG_FILES]), (F.floor(key / 3) % 4 + 1).cast("int")).alias("file"),
+                          F.unix_seconds("ts").alias("line_no"), F.concat(written, F.lit(" host: order")).alias("line"))
+    last = orders.agg(F.max("ts").cast("string")).first()[0]
+    return logs.timeline_range(lines, "1995-11-20 06:00:00", "1996-02-10 18:30:00", as_of=last).select("o_orderkey")
+
+
 @query("timeline_lexicographic", "SELECT event_id, line FROM log_lines WHERE file IN ('syslog', 'messages') AND line >= '2024-01-05 06' "
        "AND line <= '2024-01-12 18'", "log_lines")
 def timeline_lexicographic(spark, d):
