@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetsift.operators.joins import lookup
+
 
 def scan_event_log(spark: SparkSession, path: str) -> DataFrame:
     """The event table. Best laid out as Parquet partitioned by log name and day, sorted by event id in each file."""
@@ -17,13 +19,18 @@ def scan_event_log(spark: SparkSession, path: str) -> DataFrame:
 def scan_captures(spark: SparkSession, root: str) -> DataFrame:
     """Captured command output as numbered lines, from files below ``<root>/host=<host>/capture=<name>/``.
 
-    Line numbers have to come from the file itself, so each file, the output of one command on one host, is one row
-    that is split into lines. Endless logs are read by line instead (``scan_weblogs``).
+    Files are read by line and in splits. A split's rows stand in the order of the file, so a line's number is its place in its split plus the
+    lines of the file's earlier splits; only one row per split is counted and ranked, and no row holds a file. Only ``\\n`` ends a line.
+    An empty file has no lines.
     """
-    whole = spark.read.text(root, wholetext=True)
-    lines = F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("_pos", "line")
-    return whole.select(F.col("host").cast("string"), F.col("capture").cast("string"), lines).select(
-        "host", "capture", (F.col("_pos") + 1).cast("long").alias("line_no"), "line")
+    lines = spark.read.option("lineSep", "\n").text(root).select(
+        F.col("host").cast("string"), F.col("capture").cast("string"), F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_split"),
+    ).withColumn("_id", F.monotonically_increasing_id())
+    splits = lines.groupBy("_path", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = splits.select("_path", "_split", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return lookup(lines, shifts, ["_path", "_split"]).select("host", "capture", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
 
 
 def scan_weblogs(spark: SparkSession, root: str, as_of: str | None = None, days_back: int | None = None) -> DataFrame:

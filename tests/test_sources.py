@@ -99,3 +99,24 @@ def test_scratch_dir_follows_the_session(spark):
     assert first != second and (root is None or first.startswith(root))
     spark.range(3).write.parquet(first)
     assert spark.read.parquet(first).agg(F.count("*")).first()[0] == 3
+
+
+def test_captures_of_several_splits_are_numbered_as_whole_files(spark, tmp_path):
+    bodies = {("a", "ps"): "\n".join(f"line {i} " + "x" * (i % 37) for i in range(500)) + "\n", ("a", "cron"): "one\r\n\ntwo", ("b", "ps"): "\n", ("b", "w"): "",
+              ("b", "ls"): "y" * 3_000 + "\nlast\n\n"}
+    for (host, capture), body in bodies.items():
+        folder = tmp_path / f"host={host}" / f"capture={capture}"
+        folder.mkdir(parents=True)
+        (folder / "out.txt").write_bytes(body.encode())
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        frame = files.scan_captures(spark, str(tmp_path))
+        got = sorted(tuple(r) for r in frame.collect())
+        assert frame.rdd.getNumPartitions() > 5
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    expected = [(h, c, i + 1, line) for (h, c), body in bodies.items() if body for i, line in enumerate(body.removesuffix("\n").split("\n"))]
+    assert got == sorted(expected)
