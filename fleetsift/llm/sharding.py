@@ -39,8 +39,8 @@ def _place(value: Column) -> Column:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``, in shards of nearly equal bytes.
 
-    Documents with equal texts stay in one shard, unless their group is larger than half a shard: then its rows are dealt to parts of
-    a hundredth of a shard. The law is ``bytes``: sizes near equal, as far as whole texts and groups allow. ``slot`` counts from 0 without gaps within each
+    Documents with equal texts stay in one shard. Only a group larger than a shard is cut, by the hash of the id, into as few parts as
+    fit, and each part stays in one shard. The law is ``bytes``: sizes near equal, as far as whole texts and groups allow. ``slot`` counts from 0 without gaps within each
     shard. Nulls in any column are values like others. The number of shards must be a power of two.
     """
     if shards < 1 or shards & (shards - 1):
@@ -49,9 +49,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = rows.agg(F.sum("size")).first()[0] or 0
     target = max(1.0, total / shards)
     group = ["h1", "h2", "part"]
-    # a group that no shard can hold beside others is cut by the hash of the id; such groups are at most two for each shard
-    large = rows.groupBy("h1", "h2").agg(F.sum("size").alias("g")).filter(F.col("g") > target / 2) \
-        .withColumn("parts", F.ceil(F.col("g") / (target / 100)).cast("int"))
+    # there are fewer groups larger than a shard than shards
+    large = rows.groupBy("h1", "h2").agg(F.sum("size").alias("g")).filter(F.col("g") > target) \
+        .withColumn("parts", F.ceil(F.col("g") / target).cast("int"))
     large = materialise(large.drop("g"), "large")
     parted = rows.join(F.broadcast(large), ["h1", "h2"], "left").withColumn("part", F.coalesce(
         F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")).cast("int"), F.lit(0))).drop("parts")

@@ -58,7 +58,7 @@ def test_the_machine_learns_a_pair_that_is_harmful_only_together(spark):
         rows.append((i, " ".join(words), "en", "s"))
         labels.append((i, 1, int(insult and group)))
     docs = _documents(spark, rows)
-    out = toxicity.toxicity(docs, toxicity.fit(docs, _labels(spark, labels), contrast=2.0)).collect()
+    out = toxicity.toxicity(docs, toxicity.fit(docs, _labels(spark, labels))).collect()
     held = [x for x in out if x.held_out]
     assert {x.doc_id for x in held} == {i for i in range(1500) if zlib.crc32(str(i).encode()) % 5 == 0}
     right = sum(x.predicted == labels[x.doc_id][2] for x in held)
@@ -356,6 +356,23 @@ def test_a_group_larger_than_a_shard_is_split(spark):
     assert sharding.shard(_documents(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part, held", [(0.3, 1), (0.74, 1), (0.98, 1), (1.5, 2)])
+def test_equal_texts_stay_together_up_to_a_shard(spark, part, held):
+    r = random.Random(9)
+    rows = [(2 * i, f"{i} " + "x" * r.randint(50, 150), r.choice(["en", "de"]), f"s{i % 5}") for i in range(1_600)]
+    mean = sum(len(t) + 1 for _, t, _, _ in rows) / 16
+    # of all bytes a shard is a sixteenth, the group's own ones included
+    n = round(part * mean / (1 - part / 16) / 101)
+    rows += [(2 * (i * 1_600 // n) + 1, "c" * 100, r.choice(["en", "de"]), f"s{i % 5}") for i in range(n)]
+    out = sharding.shard(_documents(spark, rows)).collect()
+    sizes = Bag()
+    for x in out:
+        sizes[x.shard] += x.size
+    ids = {x[0] for x in rows[1_600:]}
+    assert len({x.shard for x in out if x.doc_id in ids}) == held
+    assert max(sizes.values()) < 1.03 * sum(sizes.values()) / 16 and min(sizes.values()) > 0.97 * sum(sizes.values()) / 16
+
+
 # -- SentencePiece --------------------------------------------------------------------------------------------------------------------------
 
 def test_streamed_ids_equal_the_librarys(spark):
