@@ -94,6 +94,25 @@ def in_cidr(v4: Callable[[], str], v6: Callable[[], str], cidr: str) -> str:
     return f"coalesce({same}, false)"
 
 
+def in_any_cidr(v4: Callable[[], str], v6: Callable[[], str], cidrs: list[str]) -> str:
+    """Whether an address lies in one of the blocks, as SQL that is never NULL.
+
+    IPv4 blocks are grouped by the length of their prefix, and the address's own prefix of that length is looked up among them: at most 33
+    lookups, however many blocks there are.
+    """
+    by_shift: dict[int, dict[int, None]] = {}
+    rest = []
+    for cidr in cidrs:
+        block = parse_cidr(cidr)
+        if block and block[0] == 4:
+            shift = 32 - block[2]
+            by_shift.setdefault(shift, {})[block[1] >> shift] = None
+        elif block:
+            rest.append(in_cidr(v4, v6, cidr))
+    tests = [f"coalesce(shiftright({v4()}, {shift}) IN ({', '.join(f'{n}L' for n in numbers)}), false)" for shift, numbers in sorted(by_shift.items())]
+    return "(" + " OR ".join([*tests, *rest]) + ")" if tests or rest else "false"
+
+
 def is_external(address: Column) -> Column:
     """The report's textual test for an address outside the local ranges; never NULL."""
     value = F.lower(F.trim(F.coalesce(address.cast("string"), F.lit(""))))

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsift.functions.addresses import in_cidr, v4_sql, v6_sql
+from fleetsift.functions.addresses import in_any_cidr, in_cidr, v4_sql, v6_sql
 
 TEXT_OPERATORS = ("exact", "contains", "startswith", "endswith")
 OPERATORS = (*TEXT_OPERATORS, "re", "cidr", "is_null")
@@ -216,6 +216,8 @@ def match_sql(
         return any_of(match_one(views, operator, c, ignore_case, **options) for c in candidates)
 
     require_all = str(match).lower() == "all"
+    if operator == "cidr" and not (require_all or windash):
+        return in_any_cidr(lambda: views.get("v4"), lambda: views.get("v6"), operands)
     plain = operator == "exact" and not (singleline or windash or require_all or keep_empty)
     if plain and len(operands) > 1:
         split = [glob_tokens(v, honour_escapes) for v in operands if v]

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetsift.functions.addresses import is_external
-from fleetsift.functions.matching import Views, bad_patterns, glob_regex, java_regex, match, quoted, windash_values
+from fleetsift.functions.matching import Views, bad_patterns, glob_regex, java_regex, match, match_sql, quoted, windash_values
 from fleetsift.plans.rules import Options, RuleError, compile_expression, compile_rule, rule_from_dict
 from tests.reference import evaluate, matcher
 
@@ -128,3 +128,23 @@ def test_collected_regexes_are_those_that_run():
     rule = rule_from_dict({"title": "t", "rule_file": "t.json", "level": "low", "sources": ["x"], "items": {"a": node},
                            "condition": {"type": "item_ref", "name": "a"}})
     assert set(regexes([rule])) == {java_regex(v, True) for value in node["values"] for v in windash_values(value, True)}
+
+
+def test_many_blocks_are_looked_up_by_the_length_of_their_prefix(spark):
+    import ipaddress
+
+    rng = random.Random(12)
+    blocks = [f"{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.0/{rng.randint(12, 32)}" for _ in range(10_000)] + ["bad", "10.0.0.0", "fe80::/10"]
+    texts = [f"{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 3)}" for _ in range(300)] + ["fe80::1", "", None, "x", "1.2.3"]
+    nets = {}
+    for b in blocks[:10_000]:
+        net = ipaddress.ip_network(b, strict=False)
+        nets.setdefault(net.prefixlen, set()).add(int(net.network_address) >> (32 - net.prefixlen))
+    frame = spark.createDataFrame([(t,) for t in texts], "x string")
+    test = match_sql(Views("x"), "cidr", blocks)
+    assert test.count("shiftright") <= 33
+    expected = {t: t == "fe80::1" or bool(t) and t.count(".") == 3 and any(int(ipaddress.ip_address(t)) >> (32 - p) in own for p, own in nets.items()) for t in texts}
+    got = {r.x: r.hit for r in frame.select("x", F.expr(test).alias("hit")).collect()}
+    assert got == expected and 20 < sum(got.values()) < len(texts)
+    none = frame.select(F.expr(match_sql(Views("x"), "cidr", ["bad", ""])).alias("hit"))
+    assert not any(r.hit for r in none.collect())
