@@ -2,7 +2,7 @@
 
 Every page's containers are scored, their places in the page are generalised to paths of tags and classes, and the pages of a host vote
 for paths in Spark. Each page is then read again with its host's winning paths: what lies in a container on such a path is
-the article, and what lies on the page's own best path too if the winners hold clearly less of it, without the parts that are menus, notices, adverts, forms or comments.
+the article, and what lies on the page's own best path too where the winners miss it, without the parts that are menus, notices, adverts, forms or comments.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
-from operator import or_
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +28,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("article body center div main section table tbody td tr blockquote".split())
 BESIDE = frozenset("nav header footer aside form menu dialog button fieldset search head".split())
 #: Inline elements whose text is apart from what is around it; ``text`` is a label in an svg.
-SPACED = frozenset("br text svg object canvas".split())
+SPACED = frozenset("br text svg object canvas button".split())
+FIELDS = frozenset("input textarea select button".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p pre blockquote figcaption".split())
 # Words of class names, ids and roles that mark what is beside the article.
@@ -40,13 +40,18 @@ BESIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsens
                          "form forms search searchbox comment comments commentlist disqus discussion discussions reply replies respond responses "
                          "share sharing social follow related recommended recommendations recommend trending popular teaser teasers "
                          "widget widgets pagination pager skip toolbar toc tags taglist complementary contentinfo".split())
-# Those of them that mean nothing else. The others also name parts of articles, so they decide only for containers that are mostly
-# links, or short beside the rest of the page; a role is always meant.
+# Those of them that mean nothing else; a role is always meant. The others also name parts of articles (see ``_Doubt``).
 SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos cookie cookies gdpr "
                        "nav navbar menubar breadcrumb breadcrumbs sidebar sidebars popup modal newsletter comment comments commentlist disqus "
                        "pagination pager".split())
-#: A container is short up to so many characters, and so much of the rest of the page.
-SHORT, SHORT_SHARE = 400, 0.2
+# Those of the others that name what an article is read without, even inside it.
+NAMED_WORDS = frozenset("menu menus navigation notice notices banner banners footer promotion promoted consent".split())
+# Those of the others that part an article element from the article of the page.
+APART_WORDS = frozenset("related recommended recommendations trending popular teaser teasers promoted".split())
+#: Outside article elements, a doubted container is beside the article up to this part of the rest of the page.
+REST_SHARE = 0.2
+#: What an article or main element, and what a container with a name of ``MAIN_WORDS``, may lose of a page's plain text to the one around it.
+ELEMENT_BONUS, NAME_BONUS = 0.25, 0.05
 MAIN_WORDS = frozenset("article articlebody post postbody entry story content main maincontent body text".split())
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -66,11 +71,12 @@ class Block:
     path: str
     beside: bool
     linked: int
+    head: bool = False
 
 
 @dataclass
 class _Open:
-    """An open element; ``path``, ``beside`` and ``links`` hold for all that it contains."""
+    """An open element; all but ``tag`` holds for what it contains. ``muted`` is text of an inline element that is beside the article."""
 
     tag: str
     path: str
@@ -78,28 +84,36 @@ class _Open:
     links: bool
     title: bool = False
     doubts: tuple[int, ...] = ()
+    muted: bool = False
+    article: bool = False
 
 
 @dataclass
 class _Doubt:
     """A container with a word that may mark it as beside the article, and what it holds."""
 
+    inside: bool
+    named: bool
     size: int = 0
     linked: int = 0
     title: bool = False
+    fields: bool = False
 
     def beside(self, plain: int) -> bool:
-        """Whether it is, on a page with so much plain text: if mostly linked, or if short and without an unlinked h1 or h2."""
+        """Whether it is, on a page with so much plain text: if mostly linked, or with form fields and less than the rest of the page. Else,
+        without an unlinked h1 or h2, inside an article element if it is named after what goes, and outside if it is small beside the rest."""
         own = self.size - self.linked
-        return 2 * self.linked >= self.size or not self.title and own <= SHORT and own <= SHORT_SHARE * (plain - own)
+        if 2 * self.linked >= self.size or self.fields and own <= plain - own:
+            return True
+        return not self.title and (self.named if self.inside else own <= REST_SHARE * (plain - own))
 
 
 _PAGE = _Open("", "", False, False)
 
 
 @lru_cache(10_000)
-def _names(attributes: str) -> tuple[tuple[str, ...], bool, bool, bool]:
-    """(class names without digits and what parts paths, whether words surely mark it as beside the article, whether they may, whether it is hidden)."""
+def _names(attributes: str) -> tuple[tuple[str, ...], bool, frozenset[str], bool]:
+    """(class names without digits and what parts paths, whether words surely mark it as beside the article, words that may, whether it is hidden)."""
     classes, words, sure, hidden = [], set(), False, False
     for name, a, b, c in _NAMES.findall(attributes):
         value = entities.unescape(a or b or c)
@@ -114,7 +128,7 @@ def _names(attributes: str) -> tuple[tuple[str, ...], bool, bool, bool]:
             if name == "class":
                 classes.append(re.sub(r"[\d.>]+", "", one).lower())
     article = bool(words & {"article", "articlebody"})
-    return tuple(sorted({c for c in classes if c})), sure and not article, bool(words & BESIDE_WORDS) and not article, hidden
+    return tuple(sorted({c for c in classes if c})), sure and not article, frozenset() if article else frozenset(words & BESIDE_WORDS), hidden
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -134,7 +148,7 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join("".join(pieces).split())
             if text:
                 top, links = stack[-1], min(linked, len(text))
-                out.append(Block(text, top.path, top.beside, linked))
+                out.append(Block(text, top.path, top.beside, linked, any(o.tag == "h1" for o in stack) and not top.beside and 2 * links < len(text)))
                 if not top.beside:
                     plain += len(text) - links
                     for i in top.doubts:
@@ -148,7 +162,7 @@ def blocks(page: str | None) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not stack[-1].muted:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if stack[-1].links:
@@ -181,6 +195,9 @@ def blocks(page: str | None) -> list[Block]:
             elif found and not any(o.tag in BLOCKS for o in stack[found:]):
                 del stack[found:]
             continue
+        if tag in FIELDS:
+            for i in stack[-1].doubts:
+                doubts[i].fields = True
         if tag in _RAW_END:
             if not attributes.endswith("/"):
                 end = _RAW_END[tag].search(page, at)
@@ -202,24 +219,28 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[i].tag in ends:
                     del stack[i:]
                 i -= 1
-        classes, beside, doubt, hidden = _names(attributes) if attributes else ((), False, False, False)
+        classes, beside, doubt, hidden = _names(attributes) if attributes else ((), False, frozenset(), False)
         if tag in ("body", "html", "main", "article"):
-            beside = doubt = False
+            beside, doubt = False, doubt & APART_WORDS if tag == "article" else frozenset()
         beside = beside and tag not in HEADINGS
         above = stack[-1]
         path = above.path
         if tag in CONTAINERS:
-            own = ".".join((tag, *classes))
+            # articles beside each other are one, whatever their classes
+            own = tag if tag in ("article", "main") else ".".join((tag, *classes))
             path = f"{path}>{own}" if path else own
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
         inside = tag == "header" and any(o.tag == "article" for o in stack)
+        beside = hidden or beside or tag in BESIDE and not inside
         within = above.doubts
         if doubt and not beside and tag in BLOCKS and tag not in PROSE:
             within = (*within, len(doubts))
-            doubts.append(_Doubt())
-        stack.append(_Open(tag, path, above.beside or hidden or beside or tag in BESIDE and not inside, above.links or tag == "a",
-                           above.title or tag in ("h1", "h2"), within))
+            doubts.append(_Doubt(above.article, bool(doubt & NAMED_WORDS)))
+        # a block in an inline element that is beside is so as a whole; text in one is left out of the block around it
+        inline = tag not in BLOCKS
+        stack.append(_Open(tag, path, above.beside or not inline and (beside or above.muted), above.links or tag == "a",
+                           above.title or tag in ("h1", "h2"), within, inline and (beside or above.muted), above.article or tag in ("article", "main")))
     flush()
     gone = {i for i, d in enumerate(doubts) if d.beside(plain)}
     for block, marks in doubted:
@@ -230,8 +251,9 @@ def blocks(page: str | None) -> list[Block]:
 def containers(found: list[Block]) -> dict[str, float]:
     """What each container's path has of a page's article, 0 to 1.
 
-    Words in plain text count for the container they stand in and all around it; linked text and what is beside the article count
-    against them. Of containers that hold nearly the same, the inner one is worth a little more, and an article or main element much more.
+    Words in plain text count for the container they stand in and all around it, linked text counts against them, and what is beside the
+    article does not count. An inner container is the article if it loses next to none of this to the one around it; an article or
+    main element may lose a quarter of it.
     """
     return _scores(*_weights(found))
 
@@ -241,7 +263,7 @@ def _weights(found: list[Block]) -> tuple[dict[str, float], int]:
     total = sum(len(b.text) - min(b.linked, len(b.text)) for b in found if not b.beside)
     sums: dict[str, float] = {}
     for b in found:
-        weight = -0.5 * len(b.text) if b.beside else len(b.text) - 1.5 * min(b.linked, len(b.text))
+        weight = 0.0 if b.beside else len(b.text) - 1.5 * min(b.linked, len(b.text))
         sums[b.path] = sums.get(b.path, 0.0) + weight
     return sums, total
 
@@ -258,7 +280,7 @@ def _scores(sums: dict[str, float], total: int) -> dict[str, float]:
             last = path.rsplit(">", 1)[-1]
             tag, *classes = last.split(".")
             words = {p for c in classes for p in _PARTS.findall(c)}
-            strong = 0.5 if tag in ("article", "main") else 0.25 if words & MAIN_WORDS else 0.0
+            strong = ELEMENT_BONUS if tag in ("article", "main") else NAME_BONUS if words & MAIN_WORDS else 0.0
             out[path] = min(score / total, 1.0) + strong + 0.02 * min(path.count(">"), 10)
     return out
 
@@ -271,7 +293,7 @@ def host(url: Column) -> Column:
 
 def read(pages: DataFrame) -> DataFrame:
     """page_id, url, host, own (the best path of the page itself), paths (path, weight), total (plain text), names (``tag.class`` of all paths)
-    and blocks (text, at: the place in paths, plain: characters that are not linked) beside which nothing is left out."""
+    and blocks (text, at: the place in paths, plain: characters that are not linked, head: whether an h1) beside which nothing is left out."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for htmls in batches:
@@ -284,10 +306,10 @@ def read(pages: DataFrame) -> DataFrame:
                 steps = {step for p in sums for step in p.split(">")}
                 rows.append((max(scores, key=lambda p: (scores[p], p), default=""), [{"path": p, "weight": w} for p, w in sums.items()], total,
                              sorted({f"{tag}.{c}" for tag, *classes in (step.split(".") for step in steps) for c in classes}),
-                             [{"text": b.text, "at": at[b.path], "plain": len(b.text) - min(b.linked, len(b.text))} for b in found if not b.beside]))
+                             [{"text": b.text, "at": at[b.path], "plain": len(b.text) - min(b.linked, len(b.text)), "head": b.head} for b in found if not b.beside]))
             yield pd.DataFrame(rows, columns=["own", "paths", "total", "names", "blocks"])
 
-    kind = "own string, paths array<struct<path:string,weight:double>>, total long, names array<string>, blocks array<struct<text:string,at:int,plain:int>>"
+    kind = "own string, paths array<struct<path:string,weight:double>>, total long, names array<string>, blocks array<struct<text:string,at:int,plain:int,head:boolean>>"
     parts = F.pandas_udf(_to_frames(run), kind)
     return pages.select("page_id", "url", host(F.col("url")).alias("host"), parts(F.col("html")).alias("r")).select("page_id", "url", "host", "r.*")
 
@@ -371,9 +393,10 @@ def extract(pages: DataFrame, *, shipped: int = 32 << 20, share: float = 0.9) ->
 
     Pages are parsed once; the blocks that are not beside the article are written, and read again with the winners of their host. If
     the counted size of all winners is at most ``shipped`` bytes they are sent to every task, else they are joined by host. Paths are voted
-    for without the classes that few pages of a host have, as those named after a post; a page's own path keeps them. A page whose
-    blocks on the winning paths hold less than ``share`` of the plain text of its own best path, as one of another layout, is read by both;
-    a page without a host by its own best path, and one without any path by all its blocks. Repeated rows stay and vote once each.
+    for without the classes that few pages of a host have, as those named after a post; a page's own path keeps them. What stands on a
+    page's own best path is read too, but for blocks that are mostly linked, unless that path leads to a winner whose blocks hold ``share`` of its
+    plain text: there the host has chosen the inner container. A page without a host is read by its own best path, and one without any path by
+    all its blocks. If what is read has no h1, the last one before it is read with what stands between. Repeated rows stay and vote once each.
     """
     parsed = materialise(read(pages), "blocks")
     hosted = parsed.filter(F.col("host") != "")
@@ -390,16 +413,24 @@ def extract(pages: DataFrame, *, shipped: int = 32 << 20, share: float = 0.9) ->
         """For each path, whether it is one of ``some`` or below."""
         return F.transform(paths, lambda p: F.exists(some, lambda w: (p == w) | p.startswith(F.concat(w, F.lit(">")))))
 
-    def chosen(*marks: str) -> Column:
-        return F.filter("blocks", lambda b: reduce(or_, (F.get(F.col(m), b["at"]) for m in marks)))
-
-    def held(found: Column) -> Column:
-        return F.aggregate(found, F.lit(0).cast("long"), lambda n, b: n + b["plain"])
+    def held(mark: str) -> Column:
+        return F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.when(F.get(F.col(mark), b["at"]), b["plain"]).otherwise(0))
 
     won = F.coalesce("winners", F.array().cast("array<string>"))
+    own = general(F.array(F.struct(F.col("own").alias("path"))), F.col("kept"))[0]
     joined = joined.withColumn("by_host", on(general(F.col("paths"), F.col("kept")), won)).withColumn("by_own", on(F.col("paths.path"), F.array("own")))
-    joined = joined.withColumn("won", chosen("by_host")).withColumn("best", chosen("by_own"))
-    text = F.when(F.col("own") == "", F.col("blocks")).when(held(F.col("won")) >= held(F.col("best")) * share, F.col("won")) \
-        .otherwise(chosen("by_host", "by_own"))
+    inner = F.exists(won, lambda w: (w == own) | w.startswith(F.concat(own, F.lit(">")))) & (held("by_host") >= held("by_own") * share)
+    joined = joined.withColumn("inner", inner)
+
+    def read_here(b: Column) -> Column:
+        added = ~F.col("inner") & F.get("by_own", b["at"]) & (2 * b["plain"] > F.length(b["text"]))
+        return (F.col("own") == "") | F.get("by_host", b["at"]) | added
+
+    joined = joined.withColumn("marks", F.transform("blocks", read_here)).withColumn("first", F.array_position("marks", True).cast("int") - 1)
+    headed = F.exists(F.arrays_zip("blocks", "marks"), lambda z: z["marks"] & z["blocks"]["head"])
+    start = F.array_max(F.transform("blocks", lambda b, i: F.when(b["head"] & (i < F.col("first")), i)))
+    joined = joined.withColumn("start", F.when(~headed, start))
+    before = lambda i: F.coalesce((i >= F.col("start")) & (i < F.col("first")), F.lit(False))
+    text = F.filter("blocks", lambda b, i: F.get("marks", i) | before(i))
     joined = joined.withColumn("text", F.array_join(F.transform(text, lambda b: b["text"]), "\n"))
     return joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

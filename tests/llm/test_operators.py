@@ -490,13 +490,54 @@ def test_parts_of_the_article_that_share_words_with_what_stands_beside_it():
 <div role="search"><p>{long}</p></div><div id="comments"><p>{long}</p></div><nav>menu</nav></body>"""
     long = long.strip()
     assert _kept(page) == ["Title", long, "Related work", long, "Discussion", long, "The law says", "Mind the gap", "What it shows", "So x=1 holds",
-                           "Without scripts", "One Two Drawn Shown"]
+                           "Without scripts", "One Two Drawn Shown", "One tag"]
 
 
 def test_words_around_the_whole_article_do_not_take_it():
     assert _kept("<body><div class='widget'><article><p>The only text</p></article></div></body>") == ["The only text"]
 
 
+def test_parts_of_an_article_stay_however_short_they_are():
+    long = ("a sentence of the paper. " * 40).strip()
+    four = "One sentence. Another one. A third one. And the last."
+    page = f"""<body><article><p>{long}</p><section id="discussion"><h3>Discussion</h3><p>{four}</p></section><div class="notice">We use data</div>
+<div class="search"><p>Find more</p><input name="q"></div><section id="notices"><h2>Notices</h2><p>Kept</p></section></article></body>"""
+    assert _kept(page) == [long, "Discussion", four, "Notices", "Kept"]
+    # outside an article element a doubted container is weighed against the rest, at any length
+    for times in (1, 50):
+        assert _kept(f"<body><p>{long * times}</p><div class='legal'>{'word ' * 20 * times}</div></body>") == [long * times]
+    assert _kept(f"<body><p>{long}</p><div class='legal'>{long}</div></body>") == [long, long]
+
+
+def test_inline_adverts_hidden_text_and_buttons_leave_the_block_around_them():
+    assert _kept("<p>Text <span class='ad'>Buy now</span> more <span hidden>secret</span> end</p>") == ["Text more end"]
+    assert _kept("<p>Next <button>Click</button>me, a<button>Click</button>b</p>") == ["Next me, a b"]
+    assert _kept("<p>open <span class='ad'>Buy <b>now</b></p><p>next</p>") == ["open", "next"]
+    assert _kept("<div>a <span hidden>b <p>c</p> d</span> e</div>") == ["a", "e"]
+    assert _kept("<p>wo<span aria-hidden='true'>-</span>rd <a href='/'>link <i hidden>x</i>y</a></p>") == ["word link y"]
+
+
+def test_no_container_wins_over_one_that_holds_more_of_the_article(spark):
+    def words(n):
+        return ("plain words " * n).strip()
+
+    pages = [f"<body><article class='a'><p>{words(27)}</p></article><article class='b'><p>{words(18)}</p></article></body>",
+             f"<body><nav>{'menu ' * 90}</nav><h1>Head</h1><p>{words(9)}</p><div class='content'><p>{words(40)}</p></div></body>",
+             f"<body><div class='intro'><p>{words(6)}</p></div><div class='body'><p>{words(40)}</p></div><div class='sidebar'>{words(70)}</div></body>",
+             f"<body><p>Site</p><h1>Head</h1><p>Standfirst</p><article><p>{words(40)}</p></article><p>After</p></body>",
+             f"<body><h1>Site</h1><article><h1>Head</h1><p>{words(40)}</p></article><article class='teaser'><p>Another</p></article></body>"]
+    want = [f"{words(27)}\n{words(18)}", f"Head\n{words(9)}\n{words(40)}", f"{words(6)}\n{words(40)}", f"Head\nStandfirst\n{words(40)}", f"Head\n{words(40)}"]
+    assert _texts(spark, [(None, p) for p in pages]) == want
+    assert _texts(spark, [(f"https://h{i}.example/", p) for i, p in enumerate(pages)]) == want
+
+
+def test_a_teaser_in_the_winning_container_does_not_replace_the_article(spark):
+    page = "<body><div class='content'><p>" + "the usual text " * 80 + "</p></div></body>"
+    other = "<body><div class='content'><p>" + "a teaser here " * 71 + "</p></div><article><p>" + "the whole text " * 72 + "</p></article></body>"
+    texts = _texts(spark, [("https://h.example/x", p) for p in [page] * 9 + [other]])
+    assert texts == [("the usual text " * 80).strip()] * 9 + [("a teaser here " * 71).strip() + "\n" + ("the whole text " * 72).strip()]
+
+
 # -- queries and pipeline -------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
