@@ -420,11 +420,12 @@ def dedup_hits(events: DataFrame, shared_files: bool = True) -> DataFrame:
     """(event, pair) rows, one per host, source, rule file and record: the first rule of the file on the newest event.
 
     Works on events rather than findings, so that a long text moves once however many rules hit it. Copies of a record
-    with the same hits are folded before they are moved; what is left of a record is then compared, newest first.
+    with the same hits are folded before they are moved. Only a record of which several copies are left is taken apart by
+    file, in the partition it lies in, so that its cost grows with its hits and not with their square.
     Without ``shared_files`` every file is taken to hold one rule, so that a pair stands for its file.
     """
     def file_of(pair: Column) -> Column:
-        return F.floor(pair / FILE_STRIDE)
+        return F.floor(pair / FILE_STRIDE) if shared_files else pair
 
     hits = F.col("_hits")
     if shared_files:
@@ -436,13 +437,12 @@ def dedup_hits(events: DataFrame, shared_files: bool = True) -> DataFrame:
         "host", "log_name", F.coalesce(F.col("record_id"), F.col("event_id").cast("long")).alias("_record"),
         hits.alias("_hits"), F.struct("time_created", "event_id", *(value.alias(c) for c, value in payload.items())).alias("_row"),
     ).groupBy(*record, "_hits").agg(F.max("_row").alias("_row"))
-    before = Window.partitionBy(*record).orderBy(F.col("_row").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    if shared_files:
-        seen = F.flatten(F.collect_list(F.transform("_hits", file_of)).over(before))
-        left = newest.withColumn("_seen", seen).withColumn(
-            "_hits", F.filter("_hits", lambda pair: ~F.array_contains(F.col("_seen"), file_of(pair))))
-    else:
-        left = newest.withColumn("_hits", F.array_except("_hits", F.flatten(F.collect_list("_hits").over(before))))
+    # the second window finds its rows where the first has put them: partitions by record hold all files of a record
+    copies = newest.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*record)))
+    apart = copies.select("*", F.explode_outer(F.when(F.col("_copies") > 1, F.col("_hits"))).alias("_one")).withColumn("_file", file_of(F.col("_one")))
+    place = F.row_number().over(Window.partitionBy(*record, "_file").orderBy(F.col("_row").desc()))
+    left = apart.withColumn("_place", place).filter("_place = 1").withColumn(
+        "_hits", F.when(F.col("_one").isNull(), F.col("_hits")).otherwise(F.array("_one")))
     return left.select(
         "host", "log_name", F.col("_row.event_id").alias("event_id"), F.col("_record").alias("record_id"),
         F.col("_row.time_created").alias("time_created"),
@@ -502,8 +502,23 @@ def scan_stats(
         F.coalesce("cap_reached", F.lit(False)).alias("cap_reached"))
 
 
+def scan_tags(event_log: DataFrame, plan: ScanPlan, as_of: str | datetime, days_back: int = 30, max_events_per_source: int = 0) -> DataFrame:
+    """(RuleTags) of every finding of ``detect``, without its texts.
+
+    Where every file holds one rule, a finding is a distinct record and pair, whichever copy is the newest, so that only keys are moved.
+    Else the newest copy decides which rule of a file is reported, and copies are compared as in ``detect``.
+    """
+    if plan.shared_files:
+        return detect(event_log, plan, as_of, days_back, max_events_per_source).select("RuleTags")
+    events = hit_events(event_log, plan, as_of, days_back, max_events_per_source)
+    meta = event_log.sparkSession.createDataFrame([(i, ", ".join(r.tags)) for i, _, r in plan.pairs], "_pair bigint, RuleTags string")
+    keys = events.select("host", "log_name", F.coalesce(F.col("record_id"), F.col("event_id").cast("long")).alias("_record"), F.explode("_hits").alias("_pair"))
+    # One row per (source, rule) of a corpus that was compiled on this driver: always small enough to broadcast.
+    return keys.distinct().join(F.broadcast(meta), "_pair").select("RuleTags")
+
+
 def tag_rollup(findings: DataFrame) -> DataFrame:
-    """Findings per tag, with the technique id for technique tags and the tactic name for the others."""
+    """Findings per tag, with the technique id for technique tags and the tactic name for the others, from ``detect`` or ``scan_tags``."""
     tag = F.explode(F.split("RuleTags", ", ")).alias("tag")
     technique = F.upper(F.regexp_extract("tag", r"^attack\.(t\d{4}(?:\.\d{3})?)$", 1))
     tactic = F.when(technique == "", F.regexp_extract("tag", r"^attack\.(.+)$", 1)).otherwise(F.lit(""))

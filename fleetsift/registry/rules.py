@@ -195,7 +195,7 @@ def detect_newest(spark, d):
        "count(*) AS findings FROM (SELECT unnest(string_split(RuleTags, ', ')) AS tag FROM "
        f"({_BEST.format(sql=_finding_sql(_BRANCHES))})) GROUP BY tag", _EV)
 def tag_rollup(spark, d):
-    return det.tag_rollup(det.detect(t.event_log(spark, d), _plan(spark), **SCAN))
+    return det.tag_rollup(det.scan_tags(t.event_log(spark, d), _plan(spark), **SCAN))
 
 
 @query("rule_errors", "SELECT DISTINCT concat('src_', s_nationkey) AS SourceId, concat('rules/', s_nationkey, '-', s_acctbal < 0, '.json') "

@@ -98,6 +98,38 @@ def test_dedup_keeps_the_newest(spark):
         (4688, "one", "05:00", "one two"), (4688, "two", "05:00", "one two")]
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_a_record_of_thousands_of_copies_with_different_hits(spark, shared):
+    names = [f"w{k}x" for k in range(13)]
+    rng, rows, newest = random.Random(9), [], {}
+    for i in range(6000):
+        # record 1 has most copies, each with its own words; all others have one or two
+        record, own = 1 if i % 3 else 2 + i // 6, sorted(rng.sample(names, rng.randint(1, 9)))
+        at = datetime(2024, 1, 1) + timedelta(seconds=rng.randint(0, 4000))
+        text = " ".join(own)
+        rows.append(("h", "Security", "p", 4688, record, at, {"commandline": text}, None, ""))
+        firsts = {}
+        for n in own:
+            firsts.setdefault(names.index(n) // 2 if shared else n, n)
+        for file, title in firsts.items():
+            key = (record, f"f{file}")
+            newest[key] = max(newest.get(key, (datetime.min, "", "")), (at, text, title))
+    rules = [rule_from_dict({"title": n, "rule_file": f"f{k // 2}" if shared else f"f{n}", "level": "high", "tags": [f"attack.{n}", "attack.t1000"],
+                             "sources": ["security_process_creation"], "condition": {
+        "type": "field", "field": "CommandLine", "operator": "contains", "values": [n]}}) for k, n in enumerate(names)]
+    log, plan = spark.createDataFrame(rows, EVENT_LOG), det.plan_scan(spark, rules)
+    assert plan.shared_files == shared
+    found = det.detect(log, plan, "2024-01-02").collect()
+    got = {(r.RecordId, r.RuleFile): (datetime.fromisoformat(r.TimeCreated), r.CommandLine, r.RuleTitle) for r in found}
+    assert len(found) == len(got) and got == newest
+    tags = {r.tag: r.findings for r in det.tag_rollup(det.scan_tags(log, plan, "2024-01-02")).collect()}
+    want = {}
+    for _, _, title in newest.values():
+        for tag in (f"attack.{title}", "attack.t1000"):
+            want[tag] = want.get(tag, 0) + 1
+    assert tags == want
+
+
 def test_both_dedups_keep_the_same_of_two_copies_in_one_second(spark):
     rows = [("h", "Security", "p", 4688, 1, datetime(2024, 1, 1, 0, 0, 0, micro), {"commandline": text}, None, "")
             for micro, text in ((1000, "one z"), (6000, "one a"))]
