@@ -20,6 +20,21 @@ def _written(df, label, fmt="parquet", **options):
     return path
 
 
+def _json_files(df, key, entry, document, label, per_file=1_000):
+    """JSON files, each one document over the entries of up to ``per_file`` keys, so that neither files nor folders are as many as keys.
+
+    A key stands for a file of its own, of which only the first document is read: of a task's rows that share a key the first one counts.
+    The rows come straight from a table, so a repeated task numbers them alike.
+    """
+    rows = df.select(F.col(key).alias("_key"), entry.alias("entry"), F.monotonically_increasing_id().alias("_id"))
+    # the upper bits of the number are the task's
+    firsts = rows.groupBy(F.shiftright("_id", 33).alias("_task"), "_key").agg(F.min(F.struct("_id", "entry")).alias("_first"))
+    docs = firsts.groupBy(F.expr(f"_first._id div {per_file}").alias("_file")).agg(
+        F.to_json(document(F.collect_list("_first.entry"))).alias("value")).select("value")
+    # JSON holds no raw control characters: the one column needs no quotes
+    return _written(docs, label, "csv", extension="json", maxRecordsPerFile=1, sep="\x01", quote="")
+
+
 @query("scan_event_log", "SELECT host, record_id, script FROM ev_script", "ev_script")
 def scan_event_log(spark, d):
     path = scratch_dir(spark, "events")
@@ -105,9 +120,9 @@ def scan_ioc_list(spark, d):
 
 @query("scan_config_list", "SELECT unnest([s_name, lower(s_name)]) AS value FROM supplier")
 def scan_config_list(spark, d):
-    doc = F.to_json(F.struct(F.array("s_name", F.lower("s_name"), F.lit("")).alias("suspicious_executables"), F.lit(1).alias("other")))
-    path = scratch_dir(spark, "config")
-    t.table(spark, d, "supplier").select(doc.alias("value"), "s_suppkey").write.partitionBy("s_suppkey").text(path)
+    path = _json_files(
+        t.table(spark, d, "supplier"), "s_suppkey", F.array("s_name", F.lower("s_name"), F.lit("")),
+        lambda names: F.struct(F.flatten(names).alias("suspicious_executables"), F.lit(1).alias("other")), "config")
     return lists.scan_config_list(spark, path, "suspicious_executables").select("value")
 
 
