@@ -68,14 +68,13 @@ def scan_event_xml(spark, d):
        "'{\"type\":\"item_ref\",\"name\":\"x\"}' AS condition FROM supplier")
 def scan_rules(spark, d):
     c = F.col
-    docs = t.table(spark, d, "supplier").select(
-        c("s_suppkey").alias("file"), F.concat(F.lit("r"), c("s_suppkey").cast("string")).alias("rule_id"), c("s_name").alias("title"),
+    rule = F.struct(
+        F.concat(F.lit("r"), c("s_suppkey").cast("string")).alias("rule_id"), c("s_name").alias("title"),
         F.when(c("s_acctbal") < 0, "critical").otherwise("low").alias("level"), (c("s_nationkey") % 2 == 0).alias("enabled"),
         F.array(F.concat(F.lit("tag"), c("s_nationkey").cast("string"))).alias("tags"),
         F.array(F.concat(F.lit("src_"), c("s_nationkey").cast("string"))).alias("sources"),
         F.struct(F.lit("item_ref").alias("type"), F.lit("x").alias("name")).alias("condition"))
-    path = scratch_dir(spark, "rules")
-    docs.write.partitionBy("file").json(path)
+    path = _json_files(t.table(spark, d, "supplier"), "s_suppkey", rule, lambda rules: rules, "rules")
     condition = F.from_json("condition_json", "type string, name string")
     return rule_files.scan_rules(spark, path).select(
         "rule_id", "title", "level", "enabled", c("tags")[0].alias("tag"), c("sources")[0].alias("source"),

@@ -25,3 +25,17 @@ def test_config_list_reads_few_files_and_every_row(spark, tmp_path):
     expected = [v for r in rows if r["s_name"] for v in (r["s_name"], r["s_name"].lower())]
     assert sorted(r.value for r in frame.collect()) == sorted(expected)
     assert 1 < len(frame.inputFiles()) <= 4
+
+
+def test_rules_read_few_files_and_every_row(spark, tmp_path):
+    rows = suppliers(tmp_path)
+    frame = load()[0]["scan_rules"](spark, str(tmp_path))
+    expected = []
+    for r in rows:
+        key, nation, balance = r["s_suppkey"], r["s_nationkey"], r["s_acctbal"]
+        expected.append((
+            "" if key is None else f"r{key}", r["s_name"] or "", "critical" if balance is not None and balance < 0 else "low",
+            nation is None or nation % 2 == 0, None if nation is None else f"tag{nation}", None if nation is None else f"src_{nation}",
+            '{"type":"item_ref","name":"x"}'))
+    assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(map(repr, expected))
+    assert 1 < len(frame.inputFiles()) <= 4
